@@ -14,7 +14,7 @@ EMAIL_LOOSE = r"^[^@\s]+@[^@\s]+\z"
 EMAIL_STRICT = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 EMAIL_RULE_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER_TEXT = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\z"
-SPECIAL_NUMBER_TEXT = r"(?i)^[+-]?(?:nan|inf|infinity)\z"
+PADDED_NUMBER_TEXT = r"(?i)^\s*[+-]?(?:\d+(?:\.\d*)?(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|nan|inf|infinity)\s*\z"
 DATE_TEXT = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\z"
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
@@ -120,16 +120,28 @@ def safe_date(c: Column, dtype: T.DataType) -> Column:
     if not is_text(dtype):
         return F.lit(None).cast("date")
     text = F.trim(c)
-    iso = F.when(
-        text.rlike(DATE_TEXT), F.replace(F.regexp_extract(text, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})", 1), F.lit("/"), F.lit("-"))
-    )
-    return iso.try_cast("date")
+    iso = F.replace(F.regexp_extract(text, r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2})", 1), F.lit("/"), F.lit("-"))
+    return F.when(_starts_like_date(c) & text.rlike(DATE_TEXT), iso).try_cast("date")
 
 
 def safe_double(c: Column) -> Column:
     """A double or NULL for text; suffixes such as ``1d`` are not numbers."""
-    text = strip(c)
-    return F.when(text.rlike(NUMBER_TEXT) | text.rlike(SPECIAL_NUMBER_TEXT), text.try_cast("double"))
+    return F.when(_starts_like_number(c) & c.rlike(PADDED_NUMBER_TEXT), c.try_cast("double"))
+
+
+# Looking at the first character first keeps regular expressions away from most text.
+def _starts_like_date(c: Column) -> Column:
+    first = F.ascii(c)
+    return first.between(48, 57) | (first == 32)
+
+
+def _starts_like_number(c: Column) -> Column:
+    first = F.ascii(c)
+    return (first < 58) | first.isin(*(ord(letter) for letter in "iInN"))
+
+
+def looks_like_email(c: Column, pattern: str) -> Column:
+    return c.contains("@") & c.rlike(pattern)
 
 
 def any_format_date(c: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Column profiles: three queries per table however many columns it has.
+"""Column profiles: three passes over a table however many columns it has.
 
 1. *Base statistics*: one aggregate per group of like columns, each reading only its own columns, without a shuffle
    beyond one row per task.
@@ -7,7 +7,7 @@
 3. *Details*: value frequencies of low-cardinality text, example values of odd entries and outlier counts. Which
    columns need these is known by then, so the query reads only those.
 
-Queries 1 and 2 return one row per column, which is what reaches the driver between the passes.
+Passes 1 and 2 run side by side and return one value per statistic and column, which is all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from plumbline.functions.scalar import (
     is_nested,
     is_numeric,
     is_text,
+    looks_like_email,
     quoted,
     safe_date,
     safe_double,
@@ -41,6 +42,7 @@ from plumbline.functions.scalar import (
     text_of,
 )
 from plumbline.operators import privacy
+from plumbline.plans.parallel import collect_together
 
 # Thresholds of the profile.
 DOMINANT_SHARE = 0.8
@@ -116,35 +118,32 @@ class Profile:
         return self.columns_frame().select(*keyed, "*")
 
 
-# --- query 1: base statistics ---------------------------------------------------------------------------------
-
-BASE = (
-    "position int, row_count long, non_null long, lowest string, highest string, mean double, stddev double, "
-    "quartiles array<double>, blank long, min_length int, max_length int, numeric long, loose long, strict long, "
-    "dates long, first_date date, last_date date, number_min double, number_max double, number_mean double, "
-    "signals array<long>"
-)
+# --- pass 1: base statistics ------------------------------------------------------------------------------------
 
 
-def _number_stats(c: Column, dtype: T.DataType) -> dict[str, Column]:
-    spread = c.cast("double")
+def _number_stats(c: Column) -> dict[str, Column]:
     return {
-        "lowest": text_of(F.min(c), dtype),
-        "highest": text_of(F.max(c), dtype),
+        "non_null": F.count(c),
+        "lowest": F.min(c),
+        "highest": F.max(c),
         "mean": F.avg(c).cast("double"),
-        "stddev": F.stddev_samp(spread),
-        "quartiles": F.percentile_approx(spread, [0.25, 0.75], QUARTILE_ACCURACY),
+        "stddev": F.stddev_samp(c.cast("double")),
     }
 
 
-def _text_stats(c: Column, database_text: bool) -> dict[str, Column]:
-    trimmed, stripped = blank_to_null(c), strip(c)
+def _quartiles(c: Column) -> dict[str, Column]:
+    return {"quartiles": F.percentile_approx(c.cast("double"), [0.25, 0.75], QUARTILE_ACCURACY)}
+
+
+def _text_stats(c: Column, trimmed: Column, database_text: bool) -> dict[str, Column]:
+    stripped, filled = strip(c), F.nullif(trimmed, F.lit(""))
     number = F.when(stripped.rlike(NUMBER_TEXT), stripped.try_cast("double")) if database_text else safe_double(c)
     day = any_format_date(c) if database_text else safe_date(c, T.StringType())
     stats = {
-        "lowest": F.min(trimmed),
-        "highest": F.max(trimmed),
-        "blank": F.count_if(F.trim(c) == ""),
+        "non_null": F.count(c),
+        "lowest": F.min(filled),
+        "highest": F.max(filled),
+        "blank": F.count_if(trimmed == ""),
         "min_length": F.min(F.char_length(c)),
         "max_length": F.max(F.char_length(c)),
         "numeric": F.count(number),
@@ -156,51 +155,56 @@ def _text_stats(c: Column, database_text: bool) -> dict[str, Column]:
         return {**stats, "number_min": F.min(number), "number_max": F.max(number), "number_mean": F.avg(number)}
     return {
         **stats,
-        "loose": F.count_if(c.rlike(EMAIL_LOOSE)),
-        "strict": F.count_if(c.rlike(EMAIL_STRICT)),
-        "signals": F.array(*(F.count_if(matches) for matches in privacy.value_matches(c))),
+        "loose": F.count_if(looks_like_email(c, EMAIL_LOOSE)),
+        "strict": F.count_if(looks_like_email(c, EMAIL_STRICT)),
+        "signals": F.array(*(F.count_if(matches) for matches in privacy.value_matches(trimmed))),
     }
 
 
-def _column_stats(c: Column, dtype: T.DataType, database_text: bool) -> dict[str, Column]:
-    if is_text(dtype):
-        return _text_stats(c, database_text)
-    if is_numeric(dtype):
-        return _number_stats(c, dtype)
+def _other_stats(c: Column, dtype: T.DataType) -> dict[str, Column]:
+    stats = {"non_null": F.count(c)}
     if is_nested(dtype) or isinstance(dtype, T.BinaryType):
-        return {}
-    return {"lowest": F.min(c).cast("string"), "highest": F.max(c).cast("string")}
+        return stats
+    return {**stats, "lowest": F.min(c).cast("string"), "highest": F.max(c).cast("string")}
 
 
-def _base_scan(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], database_text: bool) -> DataFrame:
-    """One aggregate over some columns, turned into one row per column."""
-    schema = T.StructType.fromDDL(BASE)
-    aggregates, structs = [F.count(F.lit(1)).alias("n")], []
-    for i, f in fields:
-        c = F.col(quoted(f.name))
-        stats = {"non_null": F.count(c), **_column_stats(c, f.dataType, database_text)}
-        aggregates += [value.alias(f"{name}_{i}") for name, value in stats.items()]
-        known = {"position": F.lit(i), "row_count": F.col("n"), **{name: F.col(f"{name}_{i}") for name in stats}}
-        structs.append(
-            F.struct(*(known.get(s.name, F.lit(None)).cast(s.dataType).alias(s.name) for s in schema.fields))
-        )
-    return df.agg(*aggregates).select(F.inline(F.array(*structs)))
+def _scan(df: DataFrame, stats_of: Sequence[tuple[int, dict[str, Column]]]) -> DataFrame:
+    """One aggregate, one row; statistics of column 3 are named like ``mean:3``."""
+    statistics = [value.alias(f"{name}:{i}") for i, stats in stats_of for name, value in stats.items()]
+    return df.agg(F.count(F.lit(1)).alias("rows:0"), *statistics)
 
 
-def base_statistics(df: DataFrame, database_text: bool = False) -> DataFrame:
-    families: dict[str, list[tuple[int, T.StructField]]] = {}
+def base_scans(df: DataFrame, database_text: bool = False) -> list[DataFrame]:
+    """One-row aggregates. Columns are scanned by family, so each scan reads its own columns only; the quantile
+    sketches are kept apart because they would move the plain aggregates out of generated code."""
+    numbers, quartiles, texts, others = [], [], [], []
     for i, f in enumerate(df.schema.fields):
-        family = "text" if is_text(f.dataType) else "number" if is_numeric(f.dataType) else "other"
-        families.setdefault(family, []).append((i, f))
-    width = {"text": 14, "number": 9, "other": 3}
+        c = F.col(quoted(f.name))
+        if is_text(f.dataType):
+            texts.append((i, f.name))
+        elif is_numeric(f.dataType):
+            numbers.append((i, _number_stats(c)))
+            quartiles.append((i, _quartiles(c)))
+        else:
+            others.append((i, _other_stats(c, f.dataType)))
     scans = []
-    for family, fields in families.items():
-        step = max(1, EXPRESSIONS_PER_SCAN // width[family])
-        scans += [_base_scan(df, fields[k : k + step], database_text) for k in range(0, len(fields), step)]
-    return reduce(DataFrame.unionByName, scans)
+    for stats_of, width in ((quartiles, 1), (numbers, 9), (others, 3)):
+        scans += [_scan(df, part) for part in _chunks(stats_of, EXPRESSIONS_PER_SCAN // width)]
+    for part in _chunks(texts, EXPRESSIONS_PER_SCAN // 14):
+        # Trimmed once per value here rather than once in every statistic.
+        prepared = df.select(
+            *(F.col(quoted(name)).alias(f"c{i}") for i, name in part),
+            *(F.trim(F.col(quoted(name))).alias(f"t{i}") for i, name in part),
+        )
+        scans.append(_scan(prepared, [(i, _text_stats(F.col(f"c{i}"), F.col(f"t{i}"), database_text)) for i, _ in part]))
+    return scans
 
 
-# --- query 2: distinct counts ----------------------------------------------------------------------------------
+def _chunks(items: Sequence, size: int) -> list[Sequence]:
+    return [items[start : start + size] for start in range(0, len(items), max(1, size))]
+
+
+# --- pass 2: distinct counts ----------------------------------------------------------------------------------
 
 
 def _distinct_key(c: Column, dtype: T.DataType) -> tuple[str, Column]:
@@ -241,10 +245,7 @@ def distinct_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
-# --- query 3: details -------------------------------------------------------------------------------------------
-
-DETAIL = "position int, kind string, value string, count long"
-
+# --- pass 3: details -------------------------------------------------------------------------------------------
 
 def _display(c: Column) -> Column:
     short = F.concat(F.substring(c, 1, EXAMPLE_CHARS - 3), F.lit("..."))
@@ -266,30 +267,26 @@ def details(
     frequencies: Sequence[tuple[int, str, Column | None, Column]],
     examples: Sequence[tuple[int, str, Column | None, Column]],
     outliers: Sequence[tuple[int, Column]],
-) -> DataFrame | None:
-    frames = []
-    if frequencies:
-        frames.append(_unpivot(df, frequencies))
+) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Value frames (``position, kind, value, count``) and one-row frames of outlier counts.
+
+    Spark keeps the few smallest examples per task before they are shuffled, so a column full of odd values costs
+    no more than one with a handful.
+    """
+    values = [_unpivot(df, frequencies)] if frequencies else []
     if examples:
         smallest = Window.partitionBy("position", "kind").orderBy("value")
-        frames.append(
+        values.append(
             _unpivot(df, examples)
             .withColumn("__n", F.row_number().over(smallest))
             .filter(F.col("__n") <= MAX_EXAMPLES)
             .drop("__n")
         )
-    for start in range(0, len(outliers), EXPRESSIONS_PER_SCAN):
-        part = outliers[start : start + EXPRESSIONS_PER_SCAN]
-        counted = df.agg(*(F.count_if(condition).alias(f"o{i}") for i, condition in part))
-        structs = [
-            F.struct(
-                F.lit(i).alias("position"), F.lit("outlier").alias("kind"), F.lit(None).cast("string").alias("value"),
-                F.col(f"o{i}").alias("count"),
-            )
-            for i, _ in part
-        ]
-        frames.append(counted.select(F.inline(F.array(*structs))))
-    return reduce(DataFrame.unionByName, frames) if frames else None
+    counts = [
+        df.agg(*(F.count_if(condition).alias(str(i)) for i, condition in part))
+        for part in _chunks(outliers, EXPRESSIONS_PER_SCAN)
+    ]
+    return values, counts
 
 
 # --- the profile ------------------------------------------------------------------------------------------------
@@ -299,16 +296,24 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
     """Profile every column. ``database_text`` selects the variant for database sources: more date layouts and
     numeric-text statistics, but no e-mail, category or value-shape checks."""
     spark, fields = df.sparkSession, df.schema.fields
-    base = base_statistics(df, database_text).join(distinct_counts(df), "position", "left")
-    found = {row.position: row for row in base.collect()}  # one row per column
-    row_count = next(iter(found.values())).row_count if found else 0
-    columns = [_summarise_column(i, f, found[i], database_text) for i, f in enumerate(fields)]
-
-    frequencies, examples, outliers = _wanted_details(fields, columns, found, database_text)
+    *scans, distinct = collect_together([*base_scans(df, database_text), distinct_counts(df)])
+    found: list[dict[str, Any]] = [{"distinct": 0} for _ in fields]
+    for ((row,),) in zip(scans):
+        for name, value in row.asDict().items():
+            statistic, i = name.split(":")
+            found[int(i)][statistic] = value
+    for row in distinct:  # one row per column
+        found[row.position]["distinct"] = row.distinct_count
+    row_count = found[0]["rows"]
+    columns = [_summarise_column(i, f, found[i], row_count, database_text) for i, f in enumerate(fields)]
+
+    values, counts = details(df, *_wanted_details(fields, columns, found, database_text))
+    collected = collect_together([*values, *counts])
     seen: dict[tuple[int, str], list[tuple[str | None, int]]] = {}
-    detail = details(df, frequencies, examples, outliers)
-    for row in detail.collect() if detail is not None else ():  # at most ~120 values per column
+    for row in (row for rows in collected[: len(values)] for row in rows):  # at most ~120 values per column
         seen.setdefault((row.position, row.kind), []).append((row.value, row["count"]))
+    for (row,) in collected[len(values) :]:
+        seen |= {(int(i), "outlier"): [(None, n)] for i, n in row.asDict().items()}
     for i, c in enumerate(columns):
         _add_values(c, seen, i, row_count)
 
@@ -317,15 +322,19 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
         privacy_rows += [
             finding
             for i, c in enumerate(columns)
-            if found[i].signals
-            for finding in privacy.value_findings(c["column"], found[i].signals)
+            if found[i].get("signals")
+            for finding in privacy.value_findings(c["column"], found[i]["signals"])
         ]
     findings = _findings(columns, found, seen, database_text)
     return Profile(row_count, columns, findings, privacy.deduplicate(privacy_rows), spark)
 
 
-def _summarise_column(i: int, f: T.StructField, row: Any, database_text: bool) -> dict[str, Any]:
-    n, non_null, distinct = row.row_count, row.non_null, row.distinct_count or 0
+def _plain(value: Any) -> str | None:
+    return None if value is None else repr(value) if isinstance(value, float) else str(value)
+
+
+def _summarise_column(i: int, f: T.StructField, found: dict[str, Any], n: int, database_text: bool) -> dict[str, Any]:
+    non_null, distinct = found["non_null"], found["distinct"]
     c: dict[str, Any] = {
         "position": i,
         "column": f.name,
@@ -334,47 +343,47 @@ def _summarise_column(i: int, f: T.StructField, row: Any, database_text: bool) -
         "null_rate": round(1 - non_null / n, 6) if n else 0.0,
         "non_null_count": non_null,
         "distinct_count": distinct,
-        "min": row.lowest,
-        "max": row.highest,
-        "mean": row.mean,
-        "stddev": row.stddev,
+        "min": _plain(found.get("lowest")),
+        "max": _plain(found.get("highest")),
+        "mean": found.get("mean"),
+        "stddev": found.get("stddev"),
     }
-    if row.quartiles:
-        c["q25"], c["q75"] = row.quartiles
+    if found.get("quartiles"):
+        c["q25"], c["q75"] = found["quartiles"]
     if not is_text(f.dataType) or (not non_null and not database_text):
         return c
-    c["blank_count"] = row.blank
-    c["blank_rate"] = round(row.blank / n, 6) if n else 0.0
+    c["blank_count"] = found["blank"]
+    c["blank_rate"] = round(found["blank"] / n, 6) if n else 0.0
     if not non_null:
         return c
-    if database_text:
-        if row.dates / non_null >= DOMINANT_SHARE:
-            c |= {"inferred_type": "date/time", "min": str(row.first_date), "max": str(row.last_date)}
-        elif row.numeric / non_null >= DOMINANT_SHARE:
-            c |= {"inferred_type": "numeric text", "min": repr(row.number_min), "max": repr(row.number_max)}
-            c["mean"] = row.number_mean
-        return c
-    c |= {"min_length": row.min_length, "max_length": row.max_length}
-    if row.dates / non_null >= DOMINANT_SHARE:
-        c |= {"inferred_type": "date/time", "min": str(row.first_date), "max": str(row.last_date)}
-    elif row.loose / non_null >= DOMINANT_SHARE:
-        c["inferred_type"] = "email"
-    elif row.numeric / non_null >= DOMINANT_SHARE:
-        c["inferred_type"] = "numeric text"
-    elif distinct <= MAX_CATEGORY_VALUES:
-        c["inferred_type"] = "category"
+    if not database_text:
+        c |= {"min_length": found["min_length"], "max_length": found["max_length"]}
+    c["inferred_type"] = label = _text_label(found, distinct, database_text)
+    if label == "date/time":
+        c |= {"min": str(found["first_date"]), "max": str(found["last_date"])}
+    elif label == "numeric text" and database_text:
+        c |= {"min": _plain(found["number_min"]), "max": _plain(found["number_max"]), "mean": found["number_mean"]}
     return c
 
 
-def odd_kinds(row: Any) -> list[tuple[str, int]]:
+def _text_label(found: dict[str, Any], distinct: int, database_text: bool) -> str:
+    """What a text column mostly holds. The first label whose share is dominant wins."""
+    shares = {"date/time": found["dates"], "email": found.get("loose", 0), "numeric text": found["numeric"]}
+    for label, count in shares.items():
+        if count / found["non_null"] >= DOMINANT_SHARE:
+            return label
+    return "category" if distinct <= MAX_CATEGORY_VALUES and not database_text else "text"
+
+
+def odd_kinds(found: dict[str, Any]) -> list[tuple[str, int]]:
     """Which kinds of odd text a column contains, with counts."""
-    non_null, email, number = row.non_null, row.loose / row.non_null, row.numeric / row.non_null
-    if email >= DOMINANT_SHARE:
-        kinds = [("malformed_email", row.loose - row.strict), ("not_email", non_null - row.loose)]
+    non_null, loose, numeric = found["non_null"], found["loose"], found["numeric"]
+    if loose / non_null >= DOMINANT_SHARE:
+        kinds = [("malformed_email", loose - found["strict"]), ("not_email", non_null - loose)]
         return [(kind, n) for kind, n in kinds if n]
-    if 0 < number <= (1 - DOMINANT_SHARE):
-        return [("number_in_text", row.numeric)]
-    return [("text_in_numbers", non_null - row.numeric)] if DOMINANT_SHARE <= number < 1 else []
+    if 0 < numeric / non_null <= (1 - DOMINANT_SHARE):
+        return [("number_in_text", numeric)]
+    return [("text_in_numbers", non_null - numeric)] if DOMINANT_SHARE <= numeric / non_null < 1 else []
 
 
 def _wanted_details(fields, columns, found, database_text):
@@ -389,14 +398,14 @@ def _wanted_details(fields, columns, found, database_text):
             if 0 < c["distinct_count"] <= MAX_CATEGORY_VALUES:
                 frequencies.append((i, "sample", col.isNotNull(), col))
             conditions = {
-                "malformed_email": col.rlike(EMAIL_LOOSE) & ~col.rlike(EMAIL_STRICT),
-                "not_email": ~col.rlike(EMAIL_LOOSE),
+                "malformed_email": looks_like_email(col, EMAIL_LOOSE) & ~col.rlike(EMAIL_STRICT),
+                "not_email": ~looks_like_email(col, EMAIL_LOOSE),
                 "number_in_text": safe_double(col).isNotNull(),
                 "text_in_numbers": col.isNotNull() & safe_double(col).isNull(),
             }
             examples += [(i, kind, conditions[kind], _display(col)) for kind, _ in odd_kinds(row)]
-        elif row.quartiles and not database_text:
-            low, high = fences(*row.quartiles)
+        elif row.get("quartiles") and not database_text:
+            low, high = fences(*row["quartiles"])
             if high > low:
                 beyond = (col < F.lit(low)) | (col > F.lit(high))
                 outliers.append((i, beyond))
@@ -444,7 +453,7 @@ def _findings(columns: Iterable[dict[str, Any]], found: dict, seen: dict, databa
     for i, c in enumerate(columns):
         if c.get("blank_count"):
             add("medium", c, "blank", c["blank_count"], None, [], f"{c['blank_count']} value(s) are empty or spaces.")
-        if found[i].loose is not None and c["non_null_count"]:
+        if "loose" in found[i] and c["non_null_count"]:
             for kind, n in odd_kinds(found[i]):
                 add("medium", c, kind, n, None, examples(i, kind), wording[kind].format(n=n))
     for i, c in enumerate(columns):

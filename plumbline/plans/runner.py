@@ -89,14 +89,23 @@ def tolerance(config: Mapping[str, object]) -> tuple[int, float]:
 class Planner:
     """Plans rules against connections. Each source is opened once however many rules use it."""
 
-    def __init__(self, spark: SparkSession, connections: Mapping[int, Connection], as_of: datetime | None = None) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        connections: Mapping[int, Connection],
+        as_of: datetime | None = None,
+        source: DataFrame | None = None,
+    ) -> None:
         self.spark = spark
+        self.source = source  # given outright, for example a micro-batch, it replaces every rule's own source
         self.connections = connections
         self.as_of = as_of or datetime.now(timezone.utc)
         self._frames: dict[str, DataFrame] = {}
         self._tables: dict[int, dict[str, DataFrame]] = {}
 
     def frame(self, rule: Rule, side: str = "source") -> tuple[str, DataFrame]:
+        if side == "source" and self.source is not None:
+            return "given", self.source
         key = json.dumps(catalog.source_of(rule.config, side), sort_keys=True, default=str)
         if key not in self._frames:
             self._frames[key] = catalog.load(self.spark, rule.config, self.connections, side)
@@ -312,10 +321,11 @@ def run_rules(
     executed_by: str = "user",
     as_of: datetime | None = None,
     schedule_id: int | None = None,
+    source: DataFrame | None = None,
 ) -> BatchResult:
     """Run a batch. Rules executed in one query share its runtime."""
     started = datetime.now(timezone.utc)
-    planner = Planner(spark, connections, as_of or started)
+    planner = Planner(spark, connections, as_of or started, source)
     planned = [planner.plan(rule, i) for i, rule in enumerate(rules)]
     outcome: dict[int, tuple[dict, int, PlannedRule]] = {}
     _execute_containing_errors(spark, planned, outcome)
