@@ -512,15 +512,16 @@ def metadata_only(columns: DataFrame, findings: DataFrame, privacy_flags: DataFr
 # --- grouped snapshots ------------------------------------------------------------------------------------------
 
 
-def snapshots_by(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """One profile snapshot per value of ``by`` (a day, a load), all in one query.
+def snapshots_by(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """One profile snapshot per combination of ``by`` (a source, a day, a load), all in one query.
 
     Returns the table snapshots (``by, row_count``) and the column snapshots (``by, column, null_rate,
     distinct_count, mean, stddev``), which is what drift compares.
     """
+    by = list(by)
     aggregates, structs = [F.count(F.lit(1)).alias("row_count")], []
     for i, f in enumerate(df.schema.fields):
-        if f.name == by:
+        if f.name in by:
             continue
         c = F.col(quoted(f.name))
         number = c.cast("double") if is_numeric(f.dataType) else F.lit(None).cast("double")
@@ -532,11 +533,11 @@ def snapshots_by(df: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
                 F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("stddev"),
             )
         )
-    stats = df.groupBy(by).agg(*aggregates)
+    stats = df.groupBy(*by).agg(*aggregates)
     columns = (
-        stats.select(by, F.inline(F.array(*structs)))
-        .join(distinct_counts(df, (by,)), [by, "position"], "left")
+        stats.select(*by, F.inline(F.array(*structs)))
+        .join(distinct_counts(df, by), [*by, "position"], "left")
         .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
         .drop("position")
     )
-    return stats.select(by, "row_count"), columns
+    return stats.select(*by, "row_count"), columns

@@ -45,7 +45,7 @@ def suggestions(profile_columns: DataFrame, row_count: Column) -> DataFrame:
     non_null = F.bround(rows * (1 - null_rate)).cast("long")
     complete = (rows > 0) & (null_rate == 0)
     unique = (rows > 1) & (null_rate == 0) & (distinct == rows)
-    repeated = (non_null > 1) & (distinct < non_null) & (distinct >= DOMINANT_SHARE * non_null)
+    repeated = (non_null > 1) & (distinct < non_null) & (F.try_divide(distinct, non_null) >= DOMINANT_SHARE)
     lengths = [F.coalesce(F.col(n), F.lit(0)) for n in ("min_length", "max_length")]
     values = F.coalesce("sample_values", F.array().cast("array<string>"))
     columns_json = F.to_json(F.struct(F.array(c).alias("columns")))

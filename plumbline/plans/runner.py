@@ -101,7 +101,6 @@ class Planner:
         self.connections = connections
         self.as_of = as_of or datetime.now(timezone.utc)
         self._frames: dict[str, DataFrame] = {}
-        self._tables: dict[int, dict[str, DataFrame]] = {}
 
     def frame(self, rule: Rule, side: str = "source") -> tuple[str, DataFrame]:
         if side == "source" and self.source is not None:
@@ -111,10 +110,8 @@ class Planner:
             self._frames[key] = catalog.load(self.spark, rule.config, self.connections, side)
         return key, self._frames[key]
 
-    def tables(self, connection: Connection) -> dict[str, DataFrame]:
-        if connection.id not in self._tables:
-            self._tables[connection.id] = catalog.connection_tables(self.spark, connection)
-        return self._tables[connection.id]
+    def tables(self, connection: Connection, mentioned_in: str) -> dict[str, DataFrame]:
+        return catalog.connection_tables(self.spark, connection, mentioned_in)
 
     def plan(self, rule: Rule, position: int = 0) -> PlannedRule:
         """Plan one rule. Problems with its settings, source or columns are kept on the plan, not raised."""
@@ -166,7 +163,7 @@ class Planner:
     def _fill_connection_sql(self, p: PlannedRule, config: Mapping[str, object]) -> None:
         connection = catalog.connection_of(catalog.source_of(config), self.connections)
         if connection.is_files:
-            rows = sqlrules.connection_rows(self.spark, config, self.tables(connection))
+            rows = sqlrules.connection_rows(self.spark, config, self.tables(connection, str(config["sql"])))
         elif connection.is_database:
             rows = catalog.read_jdbc(self.spark, connection, sql=str(config["sql"]))
         else:
@@ -202,7 +199,7 @@ class Planner:
         connection = catalog.connection_of(catalog.source_of(rule.config), self.connections)
         if connection.is_database:
             return catalog.read_jdbc(self.spark, connection, table=relation)
-        tables = self.tables(connection) if connection.is_files else {}
+        tables = self.tables(connection, relation) if connection.is_files else {}
         return tables[relation] if relation in tables else self.spark.table(relation)
 
 
