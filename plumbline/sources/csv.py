@@ -31,6 +31,8 @@ def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     with no limit on file size. A file starting with a UTF-16 mark is utf-16; invalid UTF-8 means latin-1.
     """
     raw = F.col("value").cast("binary")
+    # Bytes, not characters: other encodings have no characters here.
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     at_start = F.when(F.col("block") == 0, F.col("line"))
     return (
         spark.read.option("recursiveFileLookup", "true")
@@ -41,7 +43,7 @@ def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             F.monotonically_increasing_id().alias("line"),
             F.hex(F.substring(raw, 1, 2)).alias("mark"),
             F.is_valid_utf8("value").alias("valid"),
-            ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open_quote"),
+            (quotes % 2 == 1).alias("open_quote"),
         )
         .groupBy("path")
         .agg(
