@@ -54,11 +54,11 @@ WHERE f.severity IS NOT NULL"""
 def _drift_columns(found: DataFrame) -> DataFrame:
     return found.select(
         "source_key", F.col("profiled_at").cast("date").alias("day"), F.col("column").alias("col"), "kind", "severity",
-        F.round("observed", 4).alias("observed"), F.round("baseline", 4).alias("baseline"),
+        F.round("observed", 8).alias("observed"), F.round("baseline", 8).alias("baseline"),
     )
 
 
-_ROUNDED = "SELECT source_key, day, col, kind, severity, round(observed, 4) AS observed, round(baseline, 4) AS baseline FROM"
+_ROUNDED = "SELECT source_key, day, col, kind, severity, round(observed, 8) AS observed, round(baseline, 8) AS baseline FROM"
 
 
 @registered(f"WITH {EVENT_SNAPSHOTS} {_ROUNDED} ({ROW_DRIFT})")

@@ -41,7 +41,7 @@ NUMERIC = {
             names,
             "SELECT '{c}' AS \"column\", 'number' AS inferred_type, count({c}) AS non_null_count, "
             "round(1 - count({c}) / count(*), 6)::DOUBLE AS null_rate, min({c})::DOUBLE AS lowest, max({c})::DOUBLE AS highest, "
-            "round(avg({c}), 4)::DOUBLE AS mean, round(stddev_samp({c}), 4)::DOUBLE AS stddev FROM {s}",
+            "round(avg({c}), 6)::DOUBLE AS mean, round(stddev_samp({c}), 6)::DOUBLE AS stddev FROM {s}",
             name,
         )
         for name, names in NUMERIC.items()
@@ -51,7 +51,7 @@ def profile_numeric(spark: SparkSession, path: str) -> DataFrame:
     frames = [profile(table(spark, path, name).select(*names)).columns_frame() for name, names in NUMERIC.items()]
     return _union(frames).select(
         "column", "inferred_type", "non_null_count", "null_rate", F.col("min").cast("double").alias("lowest"),
-        F.col("max").cast("double").alias("highest"), F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
+        F.col("max").cast("double").alias("highest"), F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"),
     )
 
 
@@ -389,7 +389,7 @@ def report_frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 
 @registered(
-    "SELECT event_type, ts::DATE AS day, \"column\", null_rate, distinct_count, round(mean, 4)::DOUBLE AS mean, round(stddev, 4)::DOUBLE AS stddev FROM ("
+    "SELECT event_type, ts::DATE AS day, \"column\", null_rate, distinct_count, round(mean, 8)::DOUBLE AS mean, round(stddev, 8)::DOUBLE AS stddev FROM ("
     "SELECT event_type, ts::DATE AS ts, 'value' AS \"column\", 0.0::DOUBLE AS null_rate, count(DISTINCT value) AS distinct_count, avg(value) AS mean, "
     "stddev_samp(value) AS stddev FROM events GROUP BY 1, 2 UNION ALL "
     "SELECT event_type, ts::DATE, 'user_id', round(count(*) FILTER (user_id = 8) / count(*), 6), count(DISTINCT nullif(user_id, 8)), avg(nullif(user_id, 8)), "
@@ -399,4 +399,4 @@ def profile_by_source_and_day(spark: SparkSession, path: str) -> DataFrame:
     """A profile snapshot for every event type and day in one query."""
     events = sql_source(spark, path, "SELECT event_type, CAST(ts AS DATE) AS day, value, nullif(user_id, 8) AS user_id FROM events")
     _, columns = snapshots_by(events, ["event_type", "day"])
-    return columns.withColumns({"mean": F.round("mean", 4), "stddev": F.round("stddev", 4)})
+    return columns.withColumns({"mean": F.round("mean", 8), "stddev": F.round("stddev", 8)})
