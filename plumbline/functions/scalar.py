@@ -14,7 +14,7 @@ EMAIL_LOOSE = r"^[^@\s]+@[^@\s]+\z"
 EMAIL_STRICT = r"^[^@\s]+@[^@\s]+\.[^@\s]+\z"
 EMAIL_RULE_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 NUMBER_TEXT = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\z"
-PADDED_NUMBER_TEXT = r"(?i)^\s*[+-]?(?:\d+(?:\.\d*)?(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|nan|inf|infinity)\s*\z"
+PADDED_NUMBER_TEXT = r"(?i)^\s*+[+-]?(?:\d++(?:\.\d*+)?(?:e[+-]?\d++)?|\.\d++(?:e[+-]?\d++)?|nan|inf|infinity)\s*+\z"
 DATE_TEXT = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?\z"
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (

@@ -135,10 +135,19 @@ def _quartiles(c: Column) -> dict[str, Column]:
     return {"quartiles": F.percentile_approx(c.cast("double"), [0.25, 0.75], QUARTILE_ACCURACY)}
 
 
-def _text_stats(c: Column, trimmed: Column, database_text: bool) -> dict[str, Column]:
-    stripped, filled = strip(c), F.nullif(trimmed, F.lit(""))
-    number = F.when(stripped.rlike(NUMBER_TEXT), stripped.try_cast("double")) if database_text else safe_double(c)
-    day = any_format_date(c) if database_text else safe_date(c, T.StringType())
+def _prepare_text(c: Column, i: int, database_text: bool) -> dict[str, Column]:
+    """What several statistics of a text column share, worked out once per value."""
+    if database_text:
+        text = strip(c)
+        number, day = F.when(text.rlike(NUMBER_TEXT), text.try_cast("double")), any_format_date(c)
+    else:
+        number, day = safe_double(c), safe_date(c, T.StringType())
+    return {f"c{i}": c, f"t{i}": F.trim(c), f"n{i}": number, f"d{i}": day}
+
+
+def _text_stats(i: int, database_text: bool) -> dict[str, Column]:
+    c, trimmed, number, day = (F.col(f"{part}{i}") for part in "ctnd")
+    filled = F.nullif(trimmed, F.lit(""))
     stats = {
         "non_null": F.count(c),
         "lowest": F.min(filled),
@@ -191,12 +200,8 @@ def base_scans(df: DataFrame, database_text: bool = False) -> list[DataFrame]:
     for stats_of, width in ((quartiles, 1), (numbers, 9), (others, 3)):
         scans += [_scan(df, part) for part in _chunks(stats_of, EXPRESSIONS_PER_SCAN // width)]
     for part in _chunks(texts, EXPRESSIONS_PER_SCAN // 14):
-        # Trimmed once per value here rather than once in every statistic.
-        prepared = df.select(
-            *(F.col(quoted(name)).alias(f"c{i}") for i, name in part),
-            *(F.trim(F.col(quoted(name))).alias(f"t{i}") for i, name in part),
-        )
-        scans.append(_scan(prepared, [(i, _text_stats(F.col(f"c{i}"), F.col(f"t{i}"), database_text)) for i, _ in part]))
+        prepared = [value.alias(name) for i, n in part for name, value in _prepare_text(F.col(quoted(n)), i, database_text).items()]
+        scans.append(_scan(df.select(*prepared), [(i, _text_stats(i, database_text)) for i, _ in part]))
     return scans
 
 
