@@ -43,6 +43,7 @@ from plumbline.functions.scalar import (
 )
 from plumbline.operators import privacy
 from plumbline.plans.parallel import collect_together
+from plumbline.plans.spread import spread_small
 
 # Thresholds of the profile.
 DOMINANT_SHARE = 0.8
@@ -199,7 +200,7 @@ def base_scans(df: DataFrame, database_text: bool = False) -> list[DataFrame]:
     scans = []
     for stats_of, width in ((quartiles, 1), (numbers, 9), (others, 3)):
         scans += [_scan(df, part) for part in _chunks(stats_of, EXPRESSIONS_PER_SCAN // width)]
-    for part in _chunks(texts, EXPRESSIONS_PER_SCAN // 14):
+    for part in _chunks(texts, EXPRESSIONS_PER_SCAN // 24):
         prepared = [value.alias(name) for i, n in part for name, value in _prepare_text(F.col(quoted(n)), i, database_text).items()]
         scans.append(_scan(df.select(*prepared), [(i, _text_stats(i, database_text)) for i, _ in part]))
     return scans
@@ -300,6 +301,7 @@ def details(
 def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
     """Profile every column. ``database_text`` selects the variant for database sources: more date layouts and
     numeric-text statistics, but no e-mail, category or value-shape checks."""
+    df = spread_small(df)
     spark, fields = df.sparkSession, df.schema.fields
     *scans, distinct = collect_together([*base_scans(df, database_text), distinct_counts(df)])
     found: list[dict[str, Any]] = [{"distinct": 0} for _ in fields]

@@ -25,7 +25,7 @@ from plumbline.sources import catalog
 from plumbline.spec import KEY_RULES, ROW_RULES, Connection, Rule, RuleType, require_valid
 
 EVIDENCE_LIMIT = 500
-FOLDED_RULES = 100  # rules per shared scan; more would outgrow one generated method
+FOLDED_RULES = 64  # rules per shared scan; Spark stops generating code beyond 100 fields
 RARE_FAILURES = 100_000  # below this many failing rows, evidence of several rules comes from one scan
 
 PARTS = "position int, checked_count long, failed_count long, latest_value timestamp, freshness_age_days double"

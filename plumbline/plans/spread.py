@@ -1,0 +1,25 @@
+"""Spreading small sources over the cores before work that is heavy per row."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+
+SPLIT_BYTES = 4 * 1024 * 1024  # Spark packs files into splits no smaller than this
+TASK_BYTES = 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Repartition a source that is smaller than one split per core; leave every larger one as it is.
+
+    Spark cannot divide a Parquet row group, so a small file would be worked on by a single task. The size is the
+    optimizer's estimate, which costs nothing; it only decides the number of tasks, never the result.
+    """
+    if not hasattr(df, "_jdf"):  # a Connect session offers no estimate
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(max(1, min(cores, math.ceil(size / TASK_BYTES))))

@@ -100,10 +100,17 @@ def _head(spark: SparkSession, path: str, wide: bool) -> list[str]:
 
 
 def read_csv(
-    spark: SparkSession, path: str, encoding: str | None = None, *, schema: str | None = None, header: bool = True
+    spark: SparkSession,
+    path: str,
+    encoding: str | None = None,
+    *,
+    schema: str | None = None,
+    header: bool = True,
+    known: CsvLayout | None = None,
 ) -> DataFrame:
-    """A CSV file or folder as a DataFrame. Pass ``schema`` for large sources to skip the inference pass."""
-    how = layout(spark, path, encoding)
+    """A CSV file or folder as a DataFrame. For large sources pass ``schema`` and the ``known`` layout, which saves
+    the pass that infers types and the one that looks at every line."""
+    how = known or layout(spark, path, encoding)
     reader = (
         spark.read.option("header", header)
         .option("sep", how.delimiter)
