@@ -167,6 +167,8 @@ def compact_key(c: Column, dtype: T.DataType) -> Column:
     """
     if is_nested(dtype):
         return compact_key(F.to_json(c), T.StringType())
+    if isinstance(dtype, T.BinaryType):
+        return compact_key(F.hex(c), T.StringType())
     if not is_text(dtype):
         return c
     return F.when(F.char_length(c) > COMPACT_TEXT_CHARS, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)

@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.history import latest_per_rule, worst_status
 from plumbline.plans.durable import cut_lineage
+from plumbline.spec import Rule
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -75,6 +78,13 @@ def group_rules(closed: DataFrame, members: DataFrame, rules: DataFrame) -> Data
     return closed.join(known, "group_id").select(F.col("start_id").alias("group_id"), "rule_id").distinct()
 
 
+def rules_to_run(resolved: DataFrame, group_id: int, rules: Sequence[Rule]) -> list[Rule]:
+    """The rules of one group, for a batch run. Only ids of configured rules reach the driver."""
+    mine = resolved.filter(F.col("group_id") == group_id).select("rule_id").distinct()
+    wanted = {row.rule_id for row in mine.collect()}
+    return [rule for rule in rules if rule.id in wanted]
+
+
 def groups_in_cycles(edges: DataFrame) -> DataFrame:
     """Groups that contain themselves."""
     starts = edges.select(F.col("parent_id").alias("id")).distinct()

@@ -12,6 +12,7 @@ Passes 1 and 2 run side by side and return one value per statistic and column, w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -225,9 +226,9 @@ def _distinct_key(c: Column, dtype: T.DataType) -> tuple[str, Column]:
         return "long", F.unix_micros(c)
     if is_fractional(dtype):
         return "double", c.cast("double")
-    if isinstance(dtype, T.BinaryType):
-        return "text", F.sha2(c, 256)
-    return "text", compact_key(c if is_text(dtype) or is_nested(dtype) else c.cast("string"), dtype if is_nested(dtype) else T.StringType())
+    if is_text(dtype) or is_nested(dtype) or isinstance(dtype, T.BinaryType):
+        return "text", compact_key(c, dtype)
+    return "text", c.cast("string")
 
 
 def distinct_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -305,7 +306,7 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
     spark, fields = df.sparkSession, df.schema.fields
     *scans, distinct = collect_together([*base_scans(df, database_text), distinct_counts(df)])
     found: list[dict[str, Any]] = [{"distinct": 0} for _ in fields]
-    for ((row,),) in zip(scans):
+    for (row,) in scans:
         for name, value in row.asDict().items():
             statistic, i = name.split(":")
             found[int(i)][statistic] = value
@@ -503,6 +504,7 @@ def metadata_only(columns: DataFrame, findings: DataFrame, privacy_flags: DataFr
         "column", "type", "inferred_type", "null_rate", "distinct_count",
         F.when(shown, F.col("min")).alias("min"), F.when(shown, F.col("max")).alias("max"), "mean",
     )
+
     def listed(frame: DataFrame, name: str, entry: Column, order: Column) -> DataFrame:
         entries = F.array_sort(F.collect_list(F.struct(order.alias("o"), entry.alias("e"))))
         return frame.agg(F.to_json(F.transform(entries, lambda x: x["e"])).alias("json")).select(F.lit(name).alias("part"), "json")
@@ -512,7 +514,7 @@ def metadata_only(columns: DataFrame, findings: DataFrame, privacy_flags: DataFr
         listed(findings, "findings", F.struct("severity", "column"), F.col("seq")),
         listed(privacy_flags, "privacy_flags", F.struct("severity", "column", "category"), F.col("seq")),
     ]
-    header = small_frame(columns.sparkSession, [("source", f'"{label}"'), ("row_count", str(row_count))], "part string, json string")
+    header = small_frame(columns.sparkSession, [("source", json.dumps(label)), ("row_count", str(row_count))], "part string, json string")
     return reduce(DataFrame.unionByName, [header, *parts])
 
 

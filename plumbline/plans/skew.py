@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from plumbline.functions.scalar import quoted
+
 HOT_ROWS = 1_000_000
 HOT_KEYS = 1_000  # at most this many keys are sliced (most frequent first), which bounds the broadcast list
 
@@ -55,15 +57,19 @@ def rows_of_keys(
         .select(*names, SLICE, *(extra or []))
     )
     how = "inner" if extra else "left_semi"
-    return rows.join(sliced, [*names, SLICE], how).select(*df.columns, *(extra or []))
+    return rows.join(sliced, [*names, SLICE], how).select(*_own(df), *(extra or []))
 
 
 def some_rows_of_keys(df: DataFrame, keys: list[Column], counted: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` such rows. ``limit`` keys suffice for that, so the rows themselves are never shuffled."""
     names = key_names(len(keys))
     chosen = F.broadcast(counted.select(*names).limit(limit))
-    return with_keys(df, keys).join(chosen, names, "left_semi").select(*df.columns).limit(limit)
+    return with_keys(df, keys).join(chosen, names, "left_semi").select(*_own(df)).limit(limit)
+
+
+def _own(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(name)) for name in df.columns]
 
 
 def _hashable(df: DataFrame) -> list[Column]:
-    return [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+    return [F.col(quoted(f.name)) for f in df.schema.fields if "map" not in f.dataType.simpleString()]

@@ -155,3 +155,20 @@ def test_metadata_export_holds_no_text_values(spark):
     found = profile(df)
     parts = {r.part: r.json for r in metadata_only(found.columns_frame(), found.findings_frame(), found.privacy_frame(), "s", 3).collect()}
     assert "secret" not in "".join(parts.values()) and '"max":"900"' in parts["columns"]
+
+
+def test_profile_of_awkward_names_and_types(spark):
+    df = spark.createDataFrame([(1, b"x", True), (2, b"x" * 99, None)], "`a.b` int, `raw` binary, `f lag` boolean")
+    columns = by_name(profile(df))
+    assert [columns[n]["distinct_count"] for n in ("a.b", "raw", "f lag")] == [2, 2, 1]
+    assert columns["f lag"]["inferred_type"] == "boolean"
+
+
+def test_many_odd_values_cost_no_group(spark):
+    """Example values come from a per-task limit before the shuffle, not from gathering the group."""
+    from plumbline.operators.profile import details
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("t"))
+    (examples,), _ = details(df, [], [(0, "number_in_text", F.col("t").isNotNull(), F.col("t"))], [])
+    assert "WindowGroupLimit" in examples._jdf.queryExecution().executedPlan().toString()
+    assert [r.value for r in examples.orderBy("value").collect()] == ["0", "1", "10", "100", "101"]

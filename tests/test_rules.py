@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import hierarchy
 from plumbline.operators.keys import DuplicateKeys, KeyedComparison, MissingReferences
 from plumbline.plans import runner
 from plumbline.sources import stores
@@ -237,3 +238,42 @@ def test_scorecard_lists_every_violation(spark):
         Rule(6, "b", RuleType.NOT_NULL, {"column": "t"}),
     ]
     assert {r.n: r.violated_rules for r in runner.scorecard(df, rules).collect()} == {20: [5, 6], 3: [6]}
+
+
+def test_column_names_with_dots_and_blanks(spark):
+    df = spark.createDataFrame([(1, "a", 2), (1, None, 3)], "`a.b` int, `x y` string, `q``q` int")
+    rules = [
+        Rule(1, "a", RuleType.UNIQUE, {"columns": ["a.b"]}),
+        Rule(2, "b", RuleType.NOT_NULL, {"column": "X Y"}),
+        Rule(3, "c", RuleType.VALUE_RANGE, {"column": "q`q", "min": 3, "max": 3}),
+    ]
+    result = runner.run_rules(spark, rules, {}, source=df)
+    assert [r.failed_count for r in result.runs.collect()] == [2, 1, 1]
+    assert result.evidence.filter("rule_id = 2").first().row_json == '{"a.b":1,"x y":null,"q`q":3}'
+    assert DuplicateKeys(df, ["a.b"]).failing().columns == df.columns
+
+
+def test_rules_of_a_group_run_together(spark):
+    resolved = spark.createDataFrame([(5, 1), (5, 2), (6, 3)], "group_id long, rule_id long")
+    rules = [Rule(i, f"r{i}", RuleType.NOT_NULL, {"column": "id"}) for i in (1, 2, 3)]
+    chosen = hierarchy.rules_to_run(resolved, 5, rules)
+    result = runner.run_rules(spark, chosen, {}, source=spark.range(4))
+    assert [(r.rule_id, r.status) for r in result.runs.collect()] == [(1, "passed"), (2, "passed")]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_shuffle_keys_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 10 AS k", "repeat('x', 100) AS wide").write.parquet(path)
+    df = spark.read.parquet(path)
+    check = DuplicateKeys(df, ["k"])
+    counts = plan_of(check.counts())
+    assert counts.count("Exchange") == 2 and "partial_count" in counts and "ReadSchema: struct<k:bigint>" in counts
+    evidence = plan_of(check.evidence(500))  # rows meet at most 500 keys and stay where they are
+    rows_side = evidence[evidence.index("LeftSemi") : evidence.index("BroadcastExchange")]
+    assert "hashpartitioning" not in rows_side and "wide" in rows_side
+    compared = plan_of(KeyedComparison(df, "k", ["id"], df).counts())
+    assert "Join" not in compared  # pairs are counted, not built
