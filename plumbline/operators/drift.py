@@ -69,17 +69,24 @@ def _row_count_finding() -> Column:
 
 
 def _paired_columns(linked: DataFrame, columns: DataFrame) -> DataFrame:
-    """Columns of a snapshot beside those of its predecessor; either side may be missing."""
-    stats = F.struct("null_rate", "distinct_count", "mean", "stddev")
-    known = columns.select(*KEY, "column", stats.alias("s"))
-    current = known.join(linked.select(*KEY), list(KEY)).withColumnRenamed("s", "now")
-    earlier = linked.select("source_key", "profiled_at", F.col("prev_profiled_at").alias("earlier_at"))
-    before = (
-        known.withColumnRenamed("profiled_at", "earlier_at")
-        .join(earlier, ["source_key", "earlier_at"])
-        .select(*KEY, "column", F.col("s").alias("before"))
+    """Columns of a snapshot beside those of its predecessor; either side may be missing.
+
+    Each column snapshot plays two parts, the current one for its own check and the earlier one for the next, so one
+    join and one aggregation pair them all.
+    """
+
+    def part(own_at: str, name: str):
+        return F.struct(F.col(own_at).alias("own_at"), F.col("profiled_at").alias("check_at"), F.lit(name).alias("part"))
+
+    parts = linked.select("source_key", F.inline(F.array(part("profiled_at", "now"), part("prev_profiled_at", "before"))))
+    stats = F.struct("null_rate", "distinct_count", "mean", "stddev").alias("s")
+    known = columns.select("source_key", F.col("profiled_at").alias("own_at"), "column", stats)
+    sides = (F.max(F.when(F.col("part") == name, F.col("s"))).alias(name) for name in ("now", "before"))
+    return (
+        known.join(parts, ["source_key", "own_at"])
+        .groupBy("source_key", F.col("check_at").alias("profiled_at"), "column")
+        .agg(*sides)
     )
-    return current.join(before, [*KEY, "column"], "full_outer")
 
 
 def _column_findings() -> list[Column]:
