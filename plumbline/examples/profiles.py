@@ -312,10 +312,12 @@ def privacy_names(spark: SparkSession, path: str) -> DataFrame:
     return privacy.name_findings_frame(words).select("column", "category")
 
 
-TOKENS = (
-    r"SELECT word, concat('BE', lpad(CAST(n AS STRING), 14, '0')) AS account, "
-    r"concat(lpad(CAST(n % 100 AS STRING), 2, '0'), '.01.02-123.45') AS register "
-    r"FROM (SELECT explode(split(text, '\\s+')) AS word, n_chars AS n FROM documents)"
+# Words of the documents hold a few real identifiers; identifiers of orders and events are planted.
+WORD_SOURCE = r"SELECT explode(split(text, '\\s+')) AS word FROM documents"
+ORDER_IDENTIFIERS = (
+    "SELECT concat(' be', lpad(CAST(o_orderkey AS STRING), 14, '0')) AS account, "
+    "concat(date_format(o_orderdate, 'yy.MM.dd'), '-123.', lpad(CAST(o_custkey % 100 AS STRING), 2, '0')) AS register, "
+    "CASE WHEN o_orderstatus = 'F' THEN concat('10.', o_custkey % 256, '.0.1') ELSE 'none' END AS host FROM orders"
 )
 
 
@@ -325,12 +327,14 @@ TOKENS = (
     r"count(*) FILTER (regexp_matches(word, '^[^@\s]+@[^@\s]+\.[^@\s]+$')) AS observed FROM t HAVING observed > 0 UNION ALL "
     r"SELECT 'word', 'Personal data: IP address', 'medium', count(*) FILTER (regexp_matches(word, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$')) AS o FROM t HAVING o > 0 UNION ALL "
     r"SELECT 'word', 'Personal data: IBAN-like financial identifier', 'medium', count(*) FILTER (regexp_matches(upper(word), '^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$')) AS o FROM t HAVING o > 0 UNION ALL "
-    r"SELECT 'account', 'Personal data: IBAN-like financial identifier', 'medium', count(*) FROM t UNION ALL "
-    r"SELECT 'register', 'Personal data: Belgian national-register-number-like identifier', 'high', count(*) FROM t"
+    r"SELECT 'account', 'Personal data: IBAN-like financial identifier', 'medium', count(*) FROM orders UNION ALL "
+    r"SELECT 'register', 'Personal data: Belgian national-register-number-like identifier', 'high', count(*) FROM orders UNION ALL "
+    r"SELECT 'host', 'Personal data: IP address', 'medium', count(*) FROM orders WHERE o_orderstatus = 'F'"
 )
 def privacy_values(spark: SparkSession, path: str) -> DataFrame:
-    found = profile(sql_source(spark, path, TOKENS)).privacy_frame()
-    return found.filter("observed IS NOT NULL").select(F.col("column").alias("column_name"), "category", "severity", "observed")
+    frames = [profile(sql_source(spark, path, sql)).privacy_frame() for sql in (WORD_SOURCE, ORDER_IDENTIFIERS)]
+    found = _union(frames).filter("observed IS NOT NULL")
+    return found.select(F.col("column").alias("column_name"), "category", "severity", "observed")
 
 
 SUGGEST_SOURCE = """

@@ -44,7 +44,6 @@ from plumbline.functions.scalar import (
 )
 from plumbline.operators import privacy
 from plumbline.plans.parallel import collect_together
-from plumbline.plans.spread import spread_small
 
 # Thresholds of the profile.
 DOMINANT_SHARE = 0.8
@@ -302,7 +301,6 @@ def details(
 def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
     """Profile every column. ``database_text`` selects the variant for database sources: more date layouts and
     numeric-text statistics, but no e-mail, category or value-shape checks."""
-    df = spread_small(df)
     spark, fields = df.sparkSession, df.schema.fields
     *scans, distinct = collect_together([*base_scans(df, database_text), distinct_counts(df)])
     found: list[dict[str, Any]] = [{"distinct": 0} for _ in fields]
