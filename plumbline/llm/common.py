@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.plans.durable import cut_lineage
 
@@ -25,6 +25,11 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
 
+def extended(rows: DataFrame, more: str) -> T.StructType:
+    """The schema of ``rows`` with further columns, given as DDL."""
+    return T.StructType([*rows.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
@@ -73,7 +78,7 @@ def prefix_sums(rows: DataFrame, order: list[str], value: str, out: str) -> Data
     for row in sorted(totals, key=lambda r: r["__part"]):
         before[row["__part"]] = running
         running += row["n"] or 0
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{out}` bigint"
+    schema = extended(rows, f"`{out}` bigint")
     names = rows.columns
 
     def add_up(batches):

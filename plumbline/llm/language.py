@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import bucket, read, share
+from plumbline.llm.common import bucket, extended, read, share
 
 #: Bounds of the fit: rows of each language in the training sample and among the landmarks (both as expected numbers, drawn by
 #: a hash of the row), and n-grams that the kernel knows (those of most landmarks).
@@ -140,7 +140,6 @@ def identify(documents: DataFrame, model: LanguageModel | None, text: str = "tex
     if model is None:
         return rows.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields]
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
@@ -155,7 +154,7 @@ def identify(documents: DataFrame, model: LanguageModel | None, text: str = "tex
                     scores[here] = ((found[np.arange(len(here)), best] + 1) / 2).clip(0, 1).round(6)
                 yield part[kept].assign(lang_pred=names, score=scores)
 
-    return rows.mapInPandas(predict, ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInPandas(predict, extended(rows.select(*kept), "lang_pred string, score double"))
 
 
 def op1_language_id(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm.common import bucket, read, share
+from plumbline.llm.common import bucket, extended, read, share
 
 #: Terms that name groups of people; swapping one for another must not change a score.
 IDENTITY_TERMS = (
@@ -151,21 +151,23 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, text: str = "text
     kept = [c for c in documents.columns if c not in (text, "score", "predicted")]
     rows = documents.select(*kept, F.col(text).alias("__text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields]
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = np.array([shared.value.score(t) for t in batch["__text"]], float)
+            model = shared.value
+            scores = np.array([model.score(t) for t in batch["__text"]], float)
             yield batch[kept].assign(score=scores, predicted=(scores >= 0.5).astype("int32"))
 
-    return rows.mapInPandas(judge, ", ".join([*fields, "score double", "predicted int"]))
+    return rows.mapInPandas(judge, extended(rows.select(*kept), "score double, predicted int"))
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose score stays below 0.5, all columns as they came."""
     model = fit_toxicity(documents.filter(bucket(id, 5) != 0), labels, id, text)
-    scored = score_toxicity(documents.withColumn("__copy", F.col(text)).withColumnRenamed("score", "__score") if "score" in documents.columns else documents.withColumn("__copy", F.col(text)), model, "__copy")
-    return scored.filter("predicted = 0").select(*documents.columns)
+    own = documents.columns
+    rows = documents.select(*(F.col(c).alias(f"own_{c}") for c in own), F.col(text).alias("text"))  # no name clashes with a result
+    clean = score_toxicity(rows, model).filter("predicted = 0")
+    return clean.select(*(F.col(f"own_{c}").alias(c) for c in own))
 
 
 def op10_toxicity(spark: SparkSession, path: str) -> DataFrame:
