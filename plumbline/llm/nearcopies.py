@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import components, join_counted, read
 from plumbline.plans.durable import cut_lineage
@@ -24,12 +24,18 @@ REGISTERS = BANDS * BAND
 #: An estimate may fall this far short of the threshold before a pair is given up: five standard errors.
 MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: A bucket with more classes than this is dealt out anew by further registers: so many bands of so many of them.
-CROWD, FINER_BANDS, FINER, LEVELS = 200, 12, 3, 3
+CROWD, FINER_BANDS, FINER, LEVELS = 4_000, 16, 3, 3
+#: Before classes of one bucket are brought together, one bit each of so many further minima is compared: linked pairs agree in 7
+#: of 8. A pair that differs in more bits than a linked one would by four standard errors is left out.
+LOOK_BITS = 4_096
+MOST_DIFFERENT = int(LOOK_BITS / 8 + 4 * (LOOK_BITS * 7 / 64) ** 0.5) + 1
 #: Identifiers of candidates are broadcast up to this number (16 MB); beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _made = np.random.default_rng(3)
 MULTIPLIERS = _made.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = _made.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+LOOK_MULTIPLIERS = _made.integers(1, 1 << 63, LOOK_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LOOK_SALTS = _made.integers(0, 1 << 63, LOOK_BITS, dtype=np.uint64)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 BAND_MIX = _made.integers(1, 1 << 62, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,6 +97,25 @@ def finer_keys(registers: np.ndarray, buckets: np.ndarray, level: int) -> np.nda
     return h.view(np.int64)
 
 
+def look(elements: np.ndarray) -> np.ndarray:
+    """One bit of each of many minima of a set, 64 to a word: two sets differ in half as many bits as their minima."""
+    least = np.full(LOOK_BITS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(elements), 64):
+        part = (elements[at : at + 64, None] ^ LOOK_SALTS[None, :]) * LOOK_MULTIPLIERS[None, :]
+        part ^= part >> np.uint64(32)
+        part *= MIX
+        np.minimum(least, part.min(axis=0), out=least)
+    return np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def different_bits(one: str, other: str) -> Column:
+    """In how many bits two arrays of words differ."""
+    total = F.lit(0)
+    for i in range(LOOK_BITS // 64):
+        total = total + F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i]))
+    return total
+
+
 def joint_similarity(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray) -> np.ndarray:
     """The most likely Jaccard similarity of pairs of sets, from their registers and known sizes.
 
@@ -139,6 +164,13 @@ def _place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"class": np.repeat(part["class"].to_numpy(), BANDS), "bucket": band_keys(_registers(part["registers"])).ravel()})
 
 
+def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            looks = [look(np.frombuffer(e, np.uint64)) for e in batch["elements"]]
+            yield batch[["class", "size"]].assign(look=looks, keys=list(band_keys(_registers(batch["registers"]))))
+
+
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
@@ -216,7 +248,7 @@ def near_copies(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     nodes = together.select(F.col("class").alias("node")).distinct()
     grouped = cut_lineage(components(nodes, links))
     apart = _still_apart(together.select("bucket", "class"), grouped, met)
-    pairs = _pairs_apart(apart, classes).join(first, ["a", "b"], "left_anti")
+    pairs = _pairs_apart(apart, classes, search.sets).join(first, ["a", "b"], "left_anti")
     more = search.confirmed(pairs)
     final = cut_lineage(components(classes.select(F.col("class").alias("node")), links.union(more)))
     named = cut_lineage(classes.select("set_key", "class", "copies").join(final, F.col("class") == F.col("node")).select("set_key", "copies", "component"))
@@ -235,9 +267,9 @@ def _still_apart(together: DataFrame, grouped: DataFrame, met: int) -> DataFrame
     return cut_lineage(join_counted(rows, mixed, ["bucket"], "members", met).filter("members IS NOT NULL"))
 
 
-def _pairs_apart(apart: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a < b) of classes that share a bucket but not a component, crowded buckets dealt out anew first."""
-    ready = apart.filter(F.col("members") <= CROWD).select("bucket", "class", "component")
+def _pairs_apart(apart: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a < b) of classes that share a bucket but not a component and look alike, crowded buckets dealt out anew first."""
+    ready = apart.filter(F.col("members") <= CROWD).select("bucket", "class", "component", F.lit(False).alias("dealt"))
     crowded = apart.filter(F.col("members") > CROWD).select("bucket", "class", "component")
     for level in range(LEVELS):
         if crowded.isEmpty():
@@ -260,11 +292,18 @@ def _pairs_apart(apart: DataFrame, classes: DataFrame) -> DataFrame:
         total = counted.agg(F.sum("members")).first()[0] or 0
         split = cut_lineage(join_counted(dealt, counted, ["bucket"], "members", total).filter("members IS NOT NULL"))
         last = level == LEVELS - 1
-        ready = ready.union(split.filter(F.lit(last) | (F.col("members") <= CROWD)).select("bucket", "class", "component"))
+        ready = ready.union(split.filter(F.lit(last) | (F.col("members") <= CROWD)).select("bucket", "class", "component", F.lit(True)))
         crowded = split.filter(~F.lit(last) & (F.col("members") > CROWD)).select("bucket", "class", "component")
-    one = ready.select("bucket", F.col("class").alias("x"), F.col("component").alias("c"))
-    other = ready.select("bucket", F.col("class").alias("y"), F.col("component").alias("d"))
-    crossing = one.join(other, "bucket").filter("c < d")
+    wanted = cut_lineage(ready.select("class").distinct())
+    of_class = classes.select("class", "registers", F.col("n").alias("size")).join(wanted, "class", "left_semi").join(sets, "class")
+    looks = cut_lineage(of_class.mapInPandas(_look, "class bigint, size bigint, look array<bigint>, keys array<bigint>"))
+    ready = ready.join(looks, "class")
+    one = ready.select("bucket", F.col("class").alias("x"), F.col("component").alias("c"), F.col("look").alias("one"), F.col("size").alias("n"), F.col("keys").alias("k"), "dealt")
+    other = ready.select("bucket", F.col("class").alias("y"), F.col("component").alias("d"), F.col("look").alias("other"), F.col("size").alias("m"), F.col("keys").alias("l"))
+    alike = (F.col("n") * OF >= F.col("m") * SHARED) & (F.col("m") * OF >= F.col("n") * SHARED) & (different_bits("one", "other") <= MOST_DIFFERENT)
+    # of the buckets that a pair shares, the first brings it together
+    once = F.col("dealt") | (F.element_at(F.array_intersect("k", "l"), 1) == F.col("bucket"))
+    crossing = one.join(other, "bucket").filter((F.col("c") < F.col("d")) & alike & once)
     return cut_lineage(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
