@@ -56,6 +56,7 @@ EXAMPLE_CHARS = 30
 PLACEHOLDERS = ("***", "N/A", "NA", "NONE", "NULL", "UNKNOWN", "UNSPECIFIED", "-")
 
 QUARTILE_ACCURACY = 10_000
+QUARTILE_VALUES = 20_000  # rows between two bounds that are counted value by value
 EXPRESSIONS_PER_SCAN = 96  # keeps each generated aggregate below Spark's field limit for code generation
 
 COLUMN_PROFILE = (
@@ -133,7 +134,61 @@ def _number_stats(c: Column) -> dict[str, Column]:
 
 
 def _quartiles(c: Column) -> dict[str, Column]:
-    return {"quartiles": F.percentile_approx(c.cast("double"), [0.25, 0.75], QUARTILE_ACCURACY)}
+    """Values that surround the quartiles: ranks are off by one in QUARTILE_ACCURACY at most."""
+    slack = 2 / QUARTILE_ACCURACY
+    around = [0.25 - slack, 0.25 + slack, 0.75 - slack, 0.75 + slack]
+    return {"around": F.percentile_approx(c.cast("double"), around, QUARTILE_ACCURACY)}
+
+
+def exact_quartiles(df: DataFrame, around: dict[str, Sequence[float]]) -> dict[str, tuple[float, float]]:
+    """The values at ranks n/4 and 3n/4 (rounded up) of each column, given values that surround them.
+
+    Each pass counts what lies below and between. While too much lies between, the same question is put to those rows, with the
+    rank counted from there; then the few values left are counted one by one. Ties at a bound stay inside.
+    """
+    wanted = {(name, q): (bounds[2 * q], bounds[2 * q + 1]) for name, bounds in around.items() for q in (0, 1)}
+    found: dict[tuple[str, int], float] = {}
+    while wanted:
+        parts = {key: F.col(quoted(key[0])).cast("double") for key in wanted}
+        counts = [
+            column
+            for i, (key, (low, high)) in enumerate(wanted.items())
+            for column in (
+                F.count(parts[key]).alias(f"n{i}"), F.count_if(parts[key] < low).alias(f"below{i}"), F.count_if(parts[key].between(low, high)).alias(f"inside{i}"),
+            )
+        ]
+        row = df.agg(*counts).first()
+        ranks = {key: -(-row[f"n{i}"] * (1, 3)[key[1]] // 4) - row[f"below{i}"] for i, key in enumerate(wanted)}
+        wide = {key: row[f"inside{i}"] for i, key in enumerate(wanted) if row[f"inside{i}"] > QUARTILE_VALUES and wanted[key][0] < wanted[key][1]}
+        few = [key for key in wanted if key not in wide]
+        if few:
+            structs = [
+                F.when(parts[key].between(*wanted[key]), F.struct(F.lit(i).alias("i"), parts[key].alias("value"))) for i, key in enumerate(few)
+            ]
+            rows = df.select(F.explode(F.array_compact(F.array(*structs))).alias("e")).groupBy("e.i", "e.value").count().collect()
+            for i, key in enumerate(few):
+                before = 0
+                for value, n in sorted((r["value"], r["count"]) for r in rows if r["i"] == i):
+                    before += n
+                    if before >= ranks[key]:
+                        found[key] = value
+                        break
+        narrower = {}
+        for key, inside in wide.items():
+            share, slack = ranks[key] / inside, 2 / QUARTILE_ACCURACY
+            at = [min(max(share + s, 0.0), 1.0) for s in (-slack, slack)]
+            low, high = df.select(F.when(parts[key].between(*wanted[key]), parts[key]).alias("v")).agg(F.percentile_approx("v", at, QUARTILE_ACCURACY)).first()[0]
+            narrower[key] = (low, high) if (low, high) != wanted[key] else _halved(df, parts[key], low, high, ranks[key])
+        wanted = narrower
+    return {name: (found[name, 0], found[name, 1]) for name in around if (name, 0) in found and (name, 1) in found}
+
+
+def _halved(df: DataFrame, c: Column, low: float, high: float, rank: int) -> tuple[float, float]:
+    """A few values with very many rows each: split at the middle of the range, keeping the side that holds the rank."""
+    inner = F.when(c.between(low, high), c)
+    middle = low + (high - low) / 2
+    upto, lower, upper = df.agg(F.count_if(inner <= middle), F.max(F.when(inner <= middle, inner)), F.min(F.when(inner > middle, inner))).first()
+    return (low, lower) if upto >= rank else (upper, high)
 
 
 def _prepare_text(c: Column, i: int, database_text: bool) -> dict[str, Column]:
@@ -276,8 +331,7 @@ def details(
 ) -> tuple[list[DataFrame], list[DataFrame]]:
     """Value frames (``position, kind, value, count``) and one-row frames of outlier counts.
 
-    Spark keeps the few smallest examples per task before they are shuffled, so a column full of odd values costs
-    no more than one with a handful.
+    Odd values are made distinct before the few smallest are taken, and cut for display only then.
     """
     values = [_unpivot(df, frequencies)] if frequencies else []
     if examples:
@@ -286,6 +340,7 @@ def details(
             _unpivot(df, examples)
             .withColumn("__n", F.row_number().over(smallest))
             .filter(F.col("__n") <= MAX_EXAMPLES)
+            .withColumn("value", _display(F.col("value")))
             .drop("__n")
         )
     counts = [
@@ -310,6 +365,9 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
             found[int(i)][statistic] = value
     for row in distinct:  # one row per column
         found[row.position]["distinct"] = row.distinct_count
+    surrounded = {f.name: found[i]["around"] for i, f in enumerate(fields) if found[i].get("around")}
+    for name, quartiles in exact_quartiles(df, surrounded).items():
+        found[next(i for i, f in enumerate(fields) if f.name == name)]["quartiles"] = quartiles
     row_count = found[0]["rows"]
     columns = [_summarise_column(i, f, found[i], row_count, database_text) for i, f in enumerate(fields)]
 
@@ -323,16 +381,14 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
     for i, c in enumerate(columns):
         _add_values(c, seen, i, row_count)
 
-    privacy_rows = privacy.name_findings([(c["column"], c["inferred_type"]) for c in columns])
-    if not database_text:
-        privacy_rows += [
-            finding
-            for i, c in enumerate(columns)
-            if found[i].get("signals")
-            for finding in privacy.value_findings(c["column"], found[i]["signals"])
-        ]
-    findings = _findings(columns, found, seen, database_text)
-    return Profile(row_count, columns, findings, privacy.deduplicate(privacy_rows), spark)
+    values_found = [] if database_text else [
+        finding
+        for i, c in enumerate(columns)
+        if found[i].get("signals")
+        for finding in privacy.value_findings(c["column"], found[i]["signals"])
+    ]
+    reviewed = privacy.review(spark, [(c["column"], c["inferred_type"]) for c in columns], values_found)
+    return Profile(row_count, columns, _findings(columns, found, seen, database_text), reviewed, spark)
 
 
 def _plain(value: Any) -> str | None:
@@ -409,7 +465,7 @@ def _wanted_details(fields, columns, found, database_text):
                 "number_in_text": safe_double(col).isNotNull(),
                 "text_in_numbers": col.isNotNull() & safe_double(col).isNull(),
             }
-            examples += [(i, kind, conditions[kind], _display(col)) for kind, _ in odd_kinds(row)]
+            examples += [(i, kind, conditions[kind], col) for kind, _ in odd_kinds(row)]
         elif row.get("quartiles") and not database_text:
             low, high = fences(*row["quartiles"])
             if high > low:
@@ -429,7 +485,7 @@ def _add_values(c: dict[str, Any], seen: dict, i: int, row_count: int) -> None:
     if (i, "sample") in seen:
         c["sample_values"] = sorted(value for value, _ in seen[i, "sample"])
     if (i, "frequency") in seen:
-        ordered = sorted(seen[i, "frequency"], key=lambda e: (-e[1], e[0] is None, e[0] or ""))[:FREQUENCY_DISTINCT_LIMIT]
+        ordered = sorted(seen[i, "frequency"], key=lambda e: (-e[1], e[0] is None, e[0] or ""))
         c["frequency"] = [
             {"value": "(blank)" if v is None else v, "count": n, "share": round(n / row_count, 6)} for v, n in ordered
         ]

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.scalar import EMAIL_RULE_PATTERN
 from plumbline.operators.profile import DOMINANT_SHARE, MAX_CATEGORY_VALUES
 
-# How many suggestions, names that look like identifiers, and the wording of rule names.
-MAX_SUGGESTIONS = 50
+# Names that look like identifiers, and the wording of rule names.
 IDENTIFIER_SUFFIXES = ("_id", "_key", "_code", "_number", "_nr", "nummer", "nr", "code", "sleutel")
 RULE_NAMES = {
     "not_null": "{column} must not be null",
@@ -37,8 +36,8 @@ def _with(base: Column, *parts: tuple[str, Column]) -> Column:
     return F.concat(opened, *(x for name, value in parts for x in (F.lit(f',"{name}":'), value)), F.lit("}"))
 
 
-def suggestions(profile_columns: DataFrame, row_count: Column) -> DataFrame:
-    """``rule_type, column, name, config`` for one profiled source, at most 50, in column order."""
+def suggestions(profile_columns: DataFrame, row_count: Column, limit: int | None = None) -> DataFrame:
+    """``rule_type, column, name, config`` for one profiled source, in column order; all of them unless ``limit`` says how many."""
     c, distinct, label = F.col("column"), F.coalesce("distinct_count", F.lit(0)), F.coalesce("inferred_type", F.lit("text"))
     null_rate = F.coalesce("null_rate", F.lit(0.0))
     rows = F.coalesce(row_count, F.lit(0))
@@ -83,13 +82,9 @@ def suggestions(profile_columns: DataFrame, row_count: Column) -> DataFrame:
         )
         for i, (kind, condition, config) in enumerate(checks)
     ]
-    return (
-        profile_columns.select("position", "column", F.explode(F.array_compact(F.array(*offered))).alias("s"))
-        .select("position", "column", "s.*")
-        .orderBy("position", "ordinal")
-        .limit(MAX_SUGGESTIONS)
-        .select("rule_type", "column", "name", "config")
-    )
+    exploded = profile_columns.select("position", "column", F.explode(F.array_compact(F.array(*offered))).alias("s"))
+    ordered = exploded.select("position", "column", "s.*").orderBy("position", "ordinal")
+    return (ordered if limit is None else ordered.limit(limit)).select("rule_type", "column", "name", "config")
 
 
 def _name(kind: str, column: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions.scalar import quoted
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000  # at most this many keys are sliced (most frequent first), which bounds the broadcast list
+# All keys above HOT_ROWS are sliced. A table has no more of them than its rows divided by HOT_ROWS, which bounds the list.
 
 KEY_COUNT = "__n"
 SLICE = "__slice"
@@ -43,8 +43,6 @@ def rows_of_keys(
     names = key_names(len(keys))
     hot = (
         counted.filter(F.col(KEY_COUNT) > hot_rows)
-        .orderBy(F.desc(KEY_COUNT), *names)
-        .limit(HOT_KEYS)
         .select(*names, F.ceil(F.col(KEY_COUNT) / hot_rows).cast("int").alias(SLICES))
     )
     slices = F.coalesce(F.col(SLICES), F.lit(1))

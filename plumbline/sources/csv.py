@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from itertools import count
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 from urllib.parse import unquote, urlsplit
@@ -143,15 +144,28 @@ def folder_files(spark: SparkSession, base: str, suffix: str = "csv") -> DataFra
     return files.select("path", F.substring_index(local, root, -1).alias("relative")).orderBy("relative")
 
 
-def view_names(paths: Iterable[str]) -> dict[str, str]:
-    """View name to path. Names are file stems made into identifiers, numbered when they clash."""
-    named: dict[str, str] = {}
-    for path in paths:
-        stem = PurePosixPath(unquote(urlsplit(path).path)).stem
-        base = re.sub(r"\W+", "_", stem).strip("_") or "csv"
-        base = f"t_{base}" if base[0].isdigit() else base
-        name, number = base, 2
-        while name in named:
-            name, number = f"{base}_{number}", number + 1
-        named[name] = path
-    return named
+def folder_tables(spark: SparkSession, base: str, suffix: str = "csv") -> DataFrame:
+    """The tables of a folder: ``path`` and ``relative`` name of each, sorted. No file content is read.
+
+    A folder of Parquet files is one table, as is a folder whose CSV files are parts (``part-*``) of one; any other file is a
+    table of its own. Part files are put together in Spark, so a row for each table is all that can reach the driver.
+    """
+    files = folder_files(spark, base, suffix)
+    name = F.substring_index("relative", "/", -1)
+    inside = F.contains("relative", F.lit("/")) & (F.lit(True) if suffix == "parquet" else F.startswith(name, F.lit("part-")))
+    top = F.substring_index("relative", "/", 1) if suffix == "parquet" else F.regexp_replace("relative", r"/[^/]*$", "")
+    table = F.when(inside, top).otherwise(F.col("relative"))
+    root = F.substring("path", F.lit(1), F.length("path") - F.length("relative"))
+    return files.select(F.concat(root, table).alias("path"), table.alias("relative")).distinct().orderBy("relative")
+
+
+def view_names(paths: Sequence[str]) -> dict[str, str]:
+    """View name to path: the last part of the path without its suffix, as an identifier; later ones of a name are numbered."""
+    stems = [re.sub(r"\W+", "_", PurePosixPath(unquote(urlsplit(path).path)).stem).strip("_") or "csv" for path in paths]
+    stems = [f"t_{stem}" if stem[0].isdigit() else stem for stem in stems]
+    taken: set[str] = set()
+    for i, stem in enumerate(stems):
+        options = (stem if k == 1 else f"{stem}_{k}" for k in count(1))
+        stems[i] = next(name for name in options if name not in taken)
+        taken.add(stems[i])
+    return dict(zip(stems, paths, strict=True))

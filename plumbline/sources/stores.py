@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.scalar import quoted
 
-EVIDENCE_SHOWN = 200
 SNAPSHOTS_KEPT_IN_VIEW = 50
 BATCH = "batch"
 
@@ -30,18 +29,16 @@ def evidence_of_run(evidence: DataFrame, rule_id: int, executed_at: object) -> D
     return evidence.filter((F.col("rule_id") == rule_id) & (F.col("execution_datetime") == when))
 
 
-def search_evidence(rows: DataFrame, text: str, column: str | None = None, shown: int | None = EVIDENCE_SHOWN) -> DataFrame:
+def search_evidence(rows: DataFrame, text: str, column: str | None = None, shown: int | None = None) -> DataFrame:
     """Rows containing ``text`` in one column or in any, ignoring case; all rows for empty text.
 
-    ``rows`` is the wide form. As on screen, only the first ``shown`` rows are searched; None searches all of them.
+    ``rows`` is the wide form. All rows are searched; ``shown`` limits what comes back.
     """
     needle = text.strip().lower()
-    preview = rows if shown is None else rows.limit(shown)
-    if not needle:
-        return preview
-    names = [column] if column else preview.columns
-    values = F.array(*(F.coalesce(F.col(quoted(name)).cast("string"), F.lit("")) for name in names))
-    return preview.filter(F.exists(values, lambda value: F.contains(F.lower(value), F.lit(needle))))
+    if needle:
+        values = F.array(*(F.coalesce(F.col(quoted(name)).cast("string"), F.lit("")) for name in ([column] if column else rows.columns)))
+        rows = rows.filter(F.exists(values, lambda value: F.contains(F.lower(value), F.lit(needle))))
+    return rows if shown is None else rows.limit(shown)
 
 
 def widen_evidence(evidence: DataFrame, schema: str) -> DataFrame:

@@ -100,8 +100,8 @@ def test_fences():
     assert fences(2.0, 2.0) == (0.0, 0.0)
 
 
-def test_privacy_names():
-    rows = privacy.deduplicate(privacy.name_findings([("rijksregisternummer", "text"), ("medische_diagnose", "text"), ("contact_email", "email")]))
+def test_privacy_names(spark):
+    rows = privacy.review(spark, [("rijksregisternummer", "text"), ("medische_diagnose", "text"), ("contact_email", "email")], [])
     assert [(r[1], r[2], r[3]) for r in rows] == [
         ("high", "medische_diagnose", "Special category (Article 9): health"),
         ("high", "rijksregisternummer", "Personal data: direct identifier"),
@@ -113,8 +113,12 @@ def test_privacy_names():
 def test_name_table_agrees_with_single_names(spark):
     names = ["trace_id", "Date of Birth", "IP-address", "amount", "E_MAIL", "vakbond", "naam"]
     found = privacy.name_findings_frame(spark.createDataFrame([(n,) for n in names], "column string")).collect()
-    expected = {(r[1], r[2]) for r in privacy.name_findings([(n, "text") for n in names])}
-    assert {(r.column, r.category) for r in found} == expected
+    assert {(r.column, r.category.partition(": ")[2]) for r in found} == {
+        ("Date of Birth", "birth date"), ("IP-address", "address or location"), ("E_MAIL", "contact detail"), ("naam", "name"),
+        ("vakbond", "political, religious or union"), ("trace_id", "racial or ethnic origin"),
+    }
+    value = ("high", "E_MAIL", "Personal data: contact detail", 3, "seen")
+    assert privacy.review(spark, [("E_MAIL", "text")], [value]) == [(0, *value)]  # the later finding wins
 
 
 PROFILE = "position int, column string, inferred_type string, null_rate double, blank_rate double, distinct_count long, min string, max string, min_length int, max_length int, sample_values array<string>"
@@ -172,3 +176,32 @@ def test_many_odd_values_cost_no_group(spark):
     (examples,), _ = details(df, [], [(0, "number_in_text", F.col("t").isNotNull(), F.col("t"))], [])
     assert "WindowGroupLimit" in examples._jdf.queryExecution().executedPlan().toString()
     assert [r.value for r in examples.orderBy("value").collect()] == ["0", "1", "10", "100", "101"]
+
+
+def test_exact_quartiles_at_any_spread(spark):
+    from plumbline.operators import profile as p
+
+    rows = [(float(i * i % 7919), 5.0 if i % 3 else float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    wide = {"a": (0.0, 7919.0, 0.0, 7919.0), "b": (0.0, 3000.0, 0.0, 3000.0)}
+    kept, p.QUARTILE_VALUES = p.QUARTILE_VALUES, 100  # so that bounds have to be narrowed
+    try:
+        found = p.exact_quartiles(df, wide)
+    finally:
+        p.QUARTILE_VALUES = kept
+    for k, name in enumerate("ab"):
+        values = sorted(r[k] for r in rows)
+        assert found[name] == (values[749], values[2249])
+
+
+def test_frequency_keeps_blanks_beside_a_hundred_values(spark):
+    df = spark.createDataFrame([(f"v{i}",) for i in range(100)] + [(" ",)] * 9 + [(None,)], "t string")
+    frequency = {e["value"]: e["count"] for e in profile(df).columns[0].get("frequency", [])}
+    assert not frequency or frequency["(blank)"] == 10
+
+
+def test_suggestions_are_not_cut(spark):
+    rows = [(i, f"c{i}", "number", 0.0, None, 10, "1", "9", None, None, None) for i in range(40)]
+    frame = spark.createDataFrame(rows, PROFILE)
+    assert suggestions(frame, F.lit(10)).count() > 50
+    assert suggestions(frame, F.lit(10), limit=50).count() == 50

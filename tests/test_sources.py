@@ -92,3 +92,22 @@ def test_evidence_with_changing_columns_reads_as_one_table(spark, tmp_path):
     rows = stores.widen_evidence(stored, "a int, b string").orderBy("a").collect()
     assert [(r.a, r.b) for r in rows] == [(1, None), (2, "x")]
     assert stores.search_evidence(stored, "X").count() == 1
+
+
+def test_folder_of_part_files_is_one_table(spark, tmp_path):
+    from plumbline.sources import catalog
+    from plumbline.sources.stores import search_evidence
+    from plumbline.spec import Connection
+
+    spark.range(100).repartition(5).write.parquet(f"{tmp_path}/lake/orders.parquet")
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/lake/customer")
+    lake = Connection(1, "lake", "parquet", {"base_path": f"{tmp_path}/lake"})
+    tables = catalog.connection_tables(spark, lake)
+    assert {name: frame.count() for name, frame in tables.items()} == {"orders": 100, "customer": 7}
+    spark.range(50).repartition(3).write.option("header", True).csv(f"{tmp_path}/files/orders")
+    spark.range(4).coalesce(1).write.option("header", True).csv(f"{tmp_path}/files/parts")
+    files = Connection(2, "files", "csv", {"base_path": f"{tmp_path}/files"})
+    assert {n: f.count() for n, f in catalog.connection_tables(spark, files).items()} == {"orders": 50, "parts": 4}
+    wide = spark.range(1000).selectExpr("cast(id as string) AS t")
+    assert search_evidence(wide, "99").count() == 19
+    assert search_evidence(wide, "99", shown=5).count() == 5
