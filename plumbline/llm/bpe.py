@@ -255,7 +255,8 @@ def common_chunks(documents: DataFrame, text: str, tokenizer_json: str) -> dict[
                         counts[chunk] = counts.get(chunk, 0) + 1
                 if len(counts) > COUNTS_KEPT:
                     yield flush()
-        yield flush()
+        if counts:
+            yield flush()
 
     seen = cut_lineage(documents.select(text).mapInPandas(count, "key bigint, n bigint, chunk binary"))
     counted = seen.groupBy("key").agg(F.sum("n").alias("n"))

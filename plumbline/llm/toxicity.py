@@ -78,7 +78,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, id: str = "doc_id", te
             for y, value in zip(batch["__y"], batch[text], strict=True):
                 for f in features(value):
                     counts.setdefault(f, [0, 0])[int(y)] += 1
-            yield pd.DataFrame({"feature": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
+            if counts:
+                yield pd.DataFrame({"feature": list(counts), "clean": [c[0] for c in counts.values()], "toxic": [c[1] for c in counts.values()]})
 
     counted = rows.mapInPandas(spell, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}

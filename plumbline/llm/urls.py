@@ -52,7 +52,7 @@ def segment_names(names: DataFrame, counts: DataFrame, seeds: Sequence[str] = BL
     """(name, words): each distinct name split into the words that make it likeliest under unigram counts.
 
     All parts of a name up to 24 letters are joined to the words counted in the corpus, so no dictionary is sent around; Viterbi
-    runs on the words found for one name. A stretch that no word covers costs more than any word, the more the longer it is.
+    runs on the words found for one name. A stretch that no word covers costs more than any word, the more the longer it is, and less in one piece.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
     starts = F.sequence(F.lit(1), F.length("name"))
@@ -71,7 +71,7 @@ def segment_names(names: DataFrame, counts: DataFrame, seeds: Sequence[str] = BL
             for start in range(max(0, end - LONGEST_WORD), end):
                 part = name[start:end]
                 times = known.get(part, 0) + seeded.get(part, 0)
-                cost = math.log(total + len(seeded) + 1) - math.log(times) if times else (math.log(total + len(seeded) + 1) + 3) * len(part)
+                cost = math.log(total + len(seeded) + 1) - math.log(times) if times else (math.log(total + len(seeded) + 1) + 3) * len(part) + 1
                 options.append((round(best[start][0] + cost, 9), start))
             best.append(min(options))
         words, end = [], len(name)
