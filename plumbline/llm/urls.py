@@ -51,7 +51,7 @@ def letters(text: Column) -> Column:
 def segment_names(names: DataFrame, counts: DataFrame, seeds: Sequence[str] = BLOCK_WORDS) -> DataFrame:
     """(name, words): each distinct name split into the words that make it likeliest under unigram counts.
 
-    All parts of a name up to 24 letters are joined to the words counted in the corpus, so no dictionary is sent around; Viterbi
+    Parts of a name of 2 to 24 letters are joined to the words counted in the corpus, so no dictionary is sent around; Viterbi
     runs on the words found for one name. A stretch that no word covers costs more than any word, the more the longer it is, and less in one piece.
     """
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -104,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id: s
     rows = pages.select(F.col(id).alias("__id"), host.alias("host"), path.alias("path"))
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1) if html else F.lit("")
     said = pages.select(F.explode(F.concat(letters(title), letters(path))).alias("word"))
-    counts = cut_lineage(said.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut_lineage(said.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     # distinct hosts and paths, with the number of pages of each
     pairs = cut_lineage(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")))
     hosts = pairs.groupBy("host").agg(F.count(F.lit(1)).alias("paths"), F.sum("pages").alias("pages"))
