@@ -19,7 +19,7 @@ CUT_BITS = 10
 #: A chunk is common when it is at least one in so many of all chunks, so there are this many common chunks at most.
 COMMON_SHARE = 20_000
 #: Entries that a task keeps of words, of chunks and of chunk counts; a full store is emptied, which costs time only.
-WORDS_KEPT, CHUNKS_KEPT, COUNTS_KEPT = 600_000, 5_000, 50_000
+WORDS_KEPT, CHUNKS_KEPT, COUNTS_KEPT = 120_000, 2_000, 20_000
 BYTES_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 200
 BLANK = re.compile(rb"[\x20\x09-\x0D]")

@@ -31,6 +31,7 @@ LOOK_BITS = 4_096
 MOST_DIFFERENT = int(LOOK_BITS / 8 + 4 * (LOOK_BITS * 7 / 64) ** 0.5) + 1
 #: Identifiers of candidates are broadcast up to this number (16 MB); beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+ROWS_AT_ONCE = 500
 _made = np.random.default_rng(3)
 MULTIPLIERS = _made.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SALTS = _made.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
@@ -142,15 +143,13 @@ def joint_similarity(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndar
 
 def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [shingles(t) for t in batch["text"]]
-        yield pd.DataFrame(
-            {
-                "id": batch["id"],
-                "n": [len(s) for s in sets],
-                "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets],
-                "registers": [sketch(s).tobytes() if len(s) else None for s in sets],
-            }
-        )
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            part = batch.iloc[at : at + ROWS_AT_ONCE]
+            out = []
+            for text in part["text"]:
+                s = shingles(text)
+                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), sketch(s).tobytes()) if len(s) else (0, None, None))
+            yield pd.DataFrame(out, columns=["n", "set_key", "registers"]).assign(id=part["id"].to_numpy())[["id", "n", "set_key", "registers"]]
 
 
 def _registers(column: pd.Series) -> np.ndarray:
@@ -180,7 +179,9 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"class": batch["id"], "elements": [shingles(t).tobytes() for t in batch["text"]]})
+        for at in range(0, len(batch), ROWS_AT_ONCE):
+            part = batch.iloc[at : at + ROWS_AT_ONCE]
+            yield pd.DataFrame({"class": part["id"], "elements": [shingles(t).tobytes() for t in part["text"]]})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
