@@ -294,6 +294,27 @@ def run_batch_evidence(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@registered(
+    "SELECT 1::BIGINT AS rule_id, 'passed' AS status, count(*) AS checked_count, 0::BIGINT AS failed_count, FALSE AS explained FROM orders "
+    "UNION ALL SELECT 2, 'error', 0, 0, TRUE UNION ALL "
+    "SELECT 3, 'failed', count(*), count(*) FILTER (o_orderstatus NOT IN ('O', 'P')), FALSE FROM orders "
+    "UNION ALL SELECT 4, 'passed', count(*), 0, FALSE FROM customer UNION ALL SELECT 5, 'error', 0, 0, TRUE UNION ALL "
+    "SELECT 6, 'failed', count(*), count(*) FILTER (c_acctbal < 0), FALSE FROM customer"
+)
+def run_batch_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Rules 2 and 5 fail while they run: one within a shared scan, one as a query of its own. The others are unharmed."""
+    rules = [
+        rule(1, "not_null", "orders", column="o_custkey"),
+        rule(2, "value_range", "orders", column="o_orderpriority", min=0, max=1),
+        rule(3, "allowed_values", "orders", column="o_orderstatus", values=["O", "P"]),
+        rule(4, "unique", "customer", columns=["c_custkey"]),
+        rule(5, "custom_sql_fail_rows", "customer", sql="SELECT * FROM dataset_view WHERE CAST(c_name AS INT) > 0"),
+        rule(6, "value_range", "customer", column="c_acctbal", min=0, max=1_000_000),
+    ]
+    runs = runner.run_rules(spark, rules, folder(path), as_of=AS_OF).runs
+    return runs.select("rule_id", "status", "checked_count", "failed_count", F.col("error").isNotNull().alias("explained"))
+
+
 @registered(
     "SELECT t.rule_id, n AS failed_count, t.allowed::BIGINT AS fail_threshold_allowed, "
     "CASE WHEN n <= coalesce(t.allowed, 0) THEN 'passed' ELSE 'failed' END AS status FROM "

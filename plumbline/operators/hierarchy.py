@@ -85,8 +85,21 @@ def rules_to_run(resolved: DataFrame, group_id: int, rules: Sequence[Rule]) -> l
     return [rule for rule in rules if rule.id in wanted]
 
 
+def inner_edges(edges: DataFrame) -> DataFrame:
+    """Edges that can lie on a loop: groups without parents or without children are stripped until none is left."""
+    edges = cut_lineage(edges.select("parent_id", "child_id").distinct())
+    left, before = edges.count(), None
+    while left and left != before:
+        inside = edges.join(edges.select(F.col("child_id").alias("parent_id")), "parent_id", "left_semi")
+        inside = inside.join(edges.select(F.col("parent_id").alias("child_id")), "child_id", "left_semi")
+        edges = cut_lineage(inside.select("parent_id", "child_id"))
+        left, before = edges.count(), left
+    return edges
+
+
 def groups_in_cycles(edges: DataFrame) -> DataFrame:
-    """Groups that contain themselves."""
+    """Groups that contain themselves. Pairs are built only among the groups that stripping leaves."""
+    edges = inner_edges(edges)
     starts = edges.select(F.col("parent_id").alias("id")).distinct()
     return reachable(edges, starts).filter(F.col("start_id") == F.col("group_id")).select("group_id").distinct()
 

@@ -1,8 +1,9 @@
-"""Running rules: all rules of a batch become one Spark query that yields one row per rule.
+"""Running rules: a batch is a few independent parts, each yielding one row per rule it counts.
 
 Row rules, row counts and freshness of one source are folded into a single scan. Key rules, reference checks and
-custom SQL add their own branches to the same query, so Spark runs them side by side. Should the whole query
-fail, it is run in halves until the rule that cannot be evaluated stands alone; only that one ends in ``error``.
+custom SQL are parts of their own. ``summarise`` joins all parts into one unevaluated query; ``run_rules`` submits them side
+by side and times each. Should a part fail, it alone is run again, in halves, until the rule that cannot be evaluated stands
+by itself; only that one ends in ``error``.
 """
 
 from __future__ import annotations
@@ -10,23 +11,26 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 from plumbline.functions.frames import small_frame
 from plumbline.functions.scalar import col_of, quoted
 from plumbline.operators import sqlrules, volume
 from plumbline.operators.keys import DuplicateKeys, KeyedComparison, MissingReferences
 from plumbline.operators.predicates import failing_predicate
+from plumbline.plans.parallel import MAX_QUERIES
 from plumbline.sources import catalog
 from plumbline.spec import KEY_RULES, ROW_RULES, Connection, Rule, RuleType, require_valid
 
 EVIDENCE_LIMIT = 500
 FOLDED_RULES = 64  # rules per shared scan; Spark stops generating code beyond 100 fields
-RARE_FAILURES = 100_000  # below this many failing rows, evidence of several rules comes from one scan
+EVIDENCE_SLICES = 256  # scan tasks are dealt to so many first steps, which hand at most the limit of rows to the last one
 
 PARTS = "position int, checked_count long, failed_count long, latest_value timestamp, freshness_age_days double"
 META = (
@@ -60,7 +64,7 @@ class PlannedRule:
     fold: Fold | None = None
     branch: DataFrame | None = None  # own one-row result: checked_count, failed_count
     predicate: Column | None = None
-    evidence: Callable[[int], DataFrame] | None = None  # at most n failing rows
+    evidence: Callable[[int], DataFrame] | None = None  # failing rows, at least n of them where there are so many
     failing: Callable[[], DataFrame] | None = None  # all failing rows
     error: str | None = None
 
@@ -135,7 +139,7 @@ class Planner:
             df.select(predicate)  # analyse now, so that a column or type problem belongs to this rule alone
             p.predicate, p.fold = predicate, Fold(F.count_if(predicate))
             p.failing = lambda: df.filter(predicate)
-            p.evidence = lambda n: df.filter(predicate).limit(n)
+            p.evidence = lambda n: p.failing()
         elif kind == RuleType.ROW_COUNT:
             failed = volume.row_count_failed(
                 int(config.get("min_count", 0)), int(config.get("max_count", volume.DEFAULT_MAX_COUNT))
@@ -158,7 +162,7 @@ class Planner:
             build = sqlrules.fail_rows if kind == RuleType.CUSTOM_SQL_FAIL_ROWS else sqlrules.threshold_rows
             rows = build(self.spark, config, df)
             p.fold, p.branch = Fold(F.lit(0).cast("long")), _counted(rows, checked=False)
-            p.failing, p.evidence = (lambda: rows), rows.limit
+            p.failing, p.evidence = (lambda: rows), (lambda n: rows)
 
     def _fill_connection_sql(self, p: PlannedRule, config: Mapping[str, object]) -> None:
         connection = catalog.connection_of(catalog.source_of(config), self.connections)
@@ -169,7 +173,7 @@ class Planner:
         else:
             rows = sqlrules.connection_rows(self.spark, config, {})
         p.branch = _counted(rows, checked=True)
-        p.failing, p.evidence = (lambda: rows), rows.limit
+        p.failing, p.evidence = (lambda: rows), (lambda n: rows)
 
     def _fill_freshness(self, p: PlannedRule, df: DataFrame, days: int, c: Column, dtype: object) -> None:
         latest = volume.latest_instant(c, dtype)
@@ -244,20 +248,40 @@ def _scan(source: DataFrame, planned: Sequence[PlannedRule]) -> DataFrame:
     return source.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def summary_frame(spark: SparkSession, planned: Sequence[PlannedRule]) -> DataFrame:
-    """Counts, tolerance and status of planned rules, one row each, as one unevaluated query."""
-    parts: list[DataFrame] = []
+@dataclass(frozen=True, slots=True)
+class Part:
+    """Rules counted by one query; those of a shared scan can be counted in smaller parts as well."""
+
+    rules: tuple[PlannedRule, ...]
+    counts: DataFrame
+
+    def halves(self) -> tuple[Part, Part]:
+        middle = len(self.rules) // 2
+        first, second = self.rules[:middle], self.rules[middle:]
+        return Part(first, _scan(first[0].source, first)), Part(second, _scan(second[0].source, second))
+
+
+def _parts(planned: Sequence[PlannedRule]) -> list[Part]:
+    parts: list[Part] = []
     by_source: dict[str, list[PlannedRule]] = {}
     for p in planned:
         if p.error is None and p.fold is not None:
             by_source.setdefault(p.source_key, []).append(p)
         if p.error is None and p.branch is not None:
-            parts.append(_as_parts(p.branch, p.position))
+            parts.append(Part((p,), _as_parts(p.branch, p.position)))
     for group in by_source.values():
         for start in range(0, len(group), FOLDED_RULES):
-            parts.append(_scan(group[0].source, group[start : start + FOLDED_RULES]))
+            rules = tuple(group[start : start + FOLDED_RULES])
+            parts.append(Part(rules, _scan(rules[0].source, rules)))
+    return parts
+
+
+def summary_frame(spark: SparkSession, planned: Sequence[PlannedRule], counts: DataFrame | None = None) -> DataFrame:
+    """Counts, tolerance and status of planned rules, one row each, unevaluated; ``counts`` are those of parts that have run."""
+    if counts is None:
+        frames = [part.counts for part in _parts(planned)]
+        counts = reduce(DataFrame.unionByName, frames) if frames else small_frame(spark, [], PARTS)
     meta = small_frame(spark, [_meta(p) for p in planned], META)
-    counts = reduce(DataFrame.unionByName, parts) if parts else small_frame(spark, [], PARTS)
     totals = counts.groupBy("position").agg(
         F.sum("checked_count").alias("checked_count"),
         F.sum("failed_count").alias("failed_count"),
@@ -319,54 +343,74 @@ def run_rules(
     as_of: datetime | None = None,
     schedule_id: int | None = None,
     source: DataFrame | None = None,
+    evidence_limit: int | None = EVIDENCE_LIMIT,
 ) -> BatchResult:
-    """Run a batch. Rules executed in one query share its runtime."""
+    """Run a batch. A rule's runtime is that of the parts that count it; rules of one shared scan have the scan's.
+
+    ``evidence_limit`` is the number of failing rows kept for each rule, None for all.
+    """
     started = datetime.now(timezone.utc)
     planner = Planner(spark, connections, as_of or started, source)
     planned = [planner.plan(rule, i) for i, rule in enumerate(rules)]
-    outcome: dict[int, tuple[dict, int, PlannedRule]] = {}
-    _execute_containing_errors(spark, planned, outcome)
-    planned = [outcome[p.position][2] for p in planned]
+    counts, runtimes, errors = _execute(spark, _parts(planned))
+    planned = [PlannedRule(p.rule, p.position, error=errors[p.position]) if p.position in errors else p for p in planned]
+    known = small_frame(
+        spark,
+        [
+            (r.position, r.checked_count, r.failed_count, _utc(r.latest_value), r.freshness_age_days)
+            for r in counts
+            if r.position not in errors
+        ],
+        PARTS,
+    )
+    outcome = {row.position: row.asDict() for row in summary_frame(spark, planned, known).collect()}  # one row per rule
     finished = datetime.now(timezone.utc)
     rows = []
     for p in planned:
-        r, millis, _ = outcome[p.position]
+        r, millis = outcome[p.position], runtimes.get(p.position, 0)
         rows.append(
             (p.rule.id, p.rule.name, r["rule_type"], r["source_label"], r["status"], executed_by, started, finished, millis,
              r["checked_count"], r["failed_count"], r["fail_threshold_allowed"], _utc(r["latest_value"]),
              r["freshness_age_days"], r["max_age_days"], r["error"], schedule_id)
         )
-    failed = {p.position: outcome[p.position][0]["failed_count"] for p in planned}
-    return BatchResult(
-        small_frame(spark, rows, RUN), evidence_frame(spark, planned, failed, started), [row[4] for row in rows]
-    )
+    failed = {p.position: outcome[p.position]["failed_count"] for p in planned}
+    evidence = evidence_frame(spark, planned, failed, started, evidence_limit)
+    return BatchResult(small_frame(spark, rows, RUN), evidence, [row[4] for row in rows])
 
 
 def _utc(value: datetime | None) -> datetime | None:
     return None if value is None else value.astimezone(timezone.utc)
 
 
-def _execute_containing_errors(
-    spark: SparkSession, planned: Sequence[PlannedRule], outcome: dict[int, tuple[dict, int, PlannedRule]]
-) -> None:
-    """Run rules together. If the query fails, run each half, down to the rule that cannot be evaluated."""
+def _run_part(part: Part) -> tuple[list[Row], dict[int, int], dict[int, str]]:
+    """Rows, milliseconds and errors of a part, by position. A part that fails is run again in halves."""
+    clock = time.perf_counter()
     try:
-        clock = time.perf_counter()
-        rows = summary_frame(spark, planned).collect()  # one row per rule
-        millis = round((time.perf_counter() - clock) * 1000)
-        by_position = {p.position: p for p in planned}
-        outcome.update({row.position: (row.asDict(), millis, by_position[row.position]) for row in rows})
+        rows = part.counts.collect()  # one row per rule
     except Exception as error:
-        if len(planned) == 1:
-            p = planned[0]
-            if p.error:
-                raise
-            planned = [PlannedRule(p.rule, p.position, error=_message(error))]
-            _execute_containing_errors(spark, planned, outcome)
-            return
-        half = len(planned) // 2
-        _execute_containing_errors(spark, planned[:half], outcome)
-        _execute_containing_errors(spark, planned[half:], outcome)
+        if len(part.rules) == 1:
+            spent = round((time.perf_counter() - clock) * 1000)
+            return [], {part.rules[0].position: spent}, {part.rules[0].position: _message(error)}
+        first, second = (_run_part(half) for half in part.halves())
+        return first[0] + second[0], first[1] | second[1], first[2] | second[2]
+    spent = round((time.perf_counter() - clock) * 1000)
+    return rows, {p.position: spent for p in part.rules}, {}
+
+
+def _execute(spark: SparkSession, parts: Sequence[Part]) -> tuple[list[Row], dict[int, int], dict[int, str]]:
+    """All parts side by side: their rows, milliseconds of each rule and the errors of those that cannot be evaluated."""
+    rows: list[Row] = []
+    runtimes: dict[int, int] = {}
+    errors: dict[int, str] = {}
+    if not parts:
+        return rows, runtimes, errors
+    with ThreadPoolExecutor(min(MAX_QUERIES, len(parts))) as pool:
+        for found, spent, wrong in pool.map(inheritable_thread_target(spark)(_run_part), parts):
+            rows += found
+            errors |= wrong
+            for position, millis in spent.items():
+                runtimes[position] = runtimes.get(position, 0) + millis
+    return rows, runtimes, errors
 
 
 def evidence_frame(
@@ -374,42 +418,51 @@ def evidence_frame(
     planned: Sequence[PlannedRule],
     failed: Mapping[int, int],
     executed_at: datetime,
-    limit: int = EVIDENCE_LIMIT,
+    limit: int | None = EVIDENCE_LIMIT,
 ) -> DataFrame:
-    """At most ``limit`` failing rows per rule, as JSON.
+    """The first ``limit`` failing rows of each rule in the order of their JSON text; all of them for None.
 
-    Rules that failed nowhere need no scan. Row rules with few failing rows share one scan per source; a rule with
-    many stops early by itself, because Spark's limit ends once it has enough.
+    Rules that failed nowhere need no scan. Row rules of one source share a scan.
     """
     frames: list[DataFrame] = []
-    rare: dict[str, list[PlannedRule]] = {}
+    shared: dict[str, list[PlannedRule]] = {}
     for p in planned:
         if p.error or not failed.get(p.position):
             continue
-        if p.predicate is not None and failed[p.position] <= RARE_FAILURES:
-            rare.setdefault(p.source_key, []).append(p)
+        if p.predicate is not None:
+            shared.setdefault(p.source_key, []).append(p)
         else:
-            rows = p.evidence(limit)
+            rows = p.failing() if limit is None else p.evidence(limit)
             frames.append(rows.select(F.lit(p.rule.id).cast("long").alias("rule_id"), _json(rows).alias("row_json")))
-    frames += [_shared_evidence(group, limit) for group in rare.values()]
+    frames += [_shared_evidence(group) for group in shared.values()]
     if not frames:
         return small_frame(spark, [], EVIDENCE)
-    return reduce(DataFrame.unionByName, frames).select(
+    kept = frames if limit is None else [_first_rows(frame, limit) for frame in frames]
+    return reduce(DataFrame.unionByName, kept).select(
         F.lit(executed_at).cast("timestamp").alias("execution_datetime"), "rule_id", "row_json"
     )
 
 
-def _shared_evidence(group: Sequence[PlannedRule], limit: int) -> DataFrame:
+def _first_rows(evidence: DataFrame, limit: int) -> DataFrame:
+    """The first rows of each rule, in two steps: of every slice of the tasks, then of the slices.
+
+    A task is of one slice and hands over at most ``limit`` rows of a rule, and so does a slice. How tasks are dealt to slices
+    does not change the result.
+    """
+    sliced = evidence.withColumn("__slice", F.spark_partition_id() % EVIDENCE_SLICES)
+    for keys in (("rule_id", "__slice"), ("rule_id",)):
+        first = Window.partitionBy(*keys).orderBy("row_json")
+        sliced = sliced.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= limit).drop("__n")
+    return sliced.drop("__slice")
+
+
+def _shared_evidence(group: Sequence[PlannedRule]) -> DataFrame:
     source = group[0].source
     violations = violated_rules([(p.rule.id, p.predicate) for p in group])
-    first = Window.partitionBy("rule_id").orderBy("row_json")
     return (
         source.select(violations.alias("__rules"), F.struct(*(F.col(quoted(n)) for n in source.columns)).alias("__row"))
         .filter(F.size("__rules") > 0)
         .select(F.explode("__rules").alias("rule_id"), F.to_json("__row", {"ignoreNullFields": "false"}).alias("row_json"))
-        .withColumn("__n", F.row_number().over(first))
-        .filter(F.col("__n") <= limit)
-        .drop("__n")
     )
 
 

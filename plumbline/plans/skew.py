@@ -59,10 +59,10 @@ def rows_of_keys(
 
 
 def some_rows_of_keys(df: DataFrame, keys: list[Column], counted: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` such rows. ``limit`` keys suffice for that, so the rows themselves are never shuffled."""
+    """Rows of ``limit`` such keys: at least ``limit`` rows where there are so many, without shuffling any."""
     names = key_names(len(keys))
     chosen = F.broadcast(counted.select(*names).limit(limit))
-    return with_keys(df, keys).join(chosen, names, "left_semi").select(*_own(df)).limit(limit)
+    return with_keys(df, keys).join(chosen, names, "left_semi").select(*_own(df))
 
 
 def _own(df: DataFrame) -> list[Column]:

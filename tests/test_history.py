@@ -133,3 +133,11 @@ def test_previous_row_crosses_empty_slices(spark):
     df = spark.createDataFrame([("a", d, i) for i, d in enumerate(days)], "k string, d string, v int").withColumn("d", F.to_timestamp("d"))
     found = with_previous(df, ["k"], "d", ["v"]).orderBy("v").collect()
     assert [r.prev_v for r in found] == [None, 0, 1, 2, 3]
+
+
+def test_stripping_leaves_loops_and_what_lies_between(spark):
+    loops = [(1, 2), (2, 1), (2, 5), (5, 3), (3, 4), (4, 3), (7, 7)]
+    edges = spark.createDataFrame([*loops, *loops, (0, 1), (4, 6), (6, 8), (9, 0)], "parent_id long, child_id long")
+    assert sorted(map(tuple, hierarchy.inner_edges(edges).collect())) == sorted(loops)
+    assert sorted(r.group_id for r in hierarchy.groups_in_cycles(edges).collect()) == [1, 2, 3, 4, 7]
+    assert hierarchy.groups_in_cycles(edges.filter("parent_id in (0, 9)")).isEmpty()

@@ -277,3 +277,39 @@ def test_plans_shuffle_keys_only(spark, tmp_path):
     assert "hashpartitioning" not in rows_side and "wide" in rows_side
     compared = plan_of(KeyedComparison(df, "k", ["id"], df).counts())
     assert "Join" not in compared  # pairs are counted, not built
+
+
+def test_one_failing_rule_repeats_its_own_scan_only(spark, monkeypatch):
+    df = spark.range(100).select("id", F.concat(F.lit("x"), "id").alias("text"))
+    rules = [Rule(i, f"r{i}", RuleType.NOT_NULL, {"column": "id"}) for i in range(1, 16)]
+    rules += [
+        Rule(16, "r16", RuleType.VALUE_RANGE, {"column": "text", "min": 0, "max": 1}),  # fails while running
+        Rule(17, "r17", RuleType.UNIQUE, {"columns": ["id"]}),
+    ]
+    sizes = []
+    run_part = runner._run_part
+    monkeypatch.setattr(runner, "_run_part", lambda part: sizes.append(len(part.rules)) or run_part(part))
+    runs = runner.run_rules(spark, rules, {}, source=df).runs.collect()
+    assert [r.status for r in runs] == ["passed"] * 15 + ["error", "passed"]
+    assert sorted(sizes) == [1, 1, 1, 2, 2, 4, 4, 8, 8, 16]  # the key rule once, the shared scan in halves down to the bad rule
+    assert all(r.runtime_ms > 0 for r in runs)
+
+
+def test_evidence_is_the_first_rows_at_every_size(spark):
+    df = spark.range(0, 4000, 1, 7).select("id", (F.col("id") % 2).alias("odd"))
+    checked = Rule(1, "a", RuleType.VALUE_RANGE, {"column": "odd", "min": 1, "max": 1})
+    every = sorted(f'{{"id":{i},"odd":0}}' for i in range(0, 4000, 2))
+    for limit, wanted in ((10, every[:10]), (500, every[:500]), (None, every)):
+        found = runner.run_rules(spark, [checked], {}, source=df, evidence_limit=limit).evidence
+        assert sorted(r.row_json for r in found.collect()) == wanted
+    empty = runner.run_rules(spark, [checked], {}, source=df.filter("id < 0"))
+    assert empty.statuses == ["passed"] and empty.evidence.isEmpty()
+
+
+def test_evidence_reaches_one_task_only_in_bounded_pieces(spark):
+    df = spark.range(0, 4000, 1, 7).select("id", (F.col("id") % 2).alias("odd"))
+    checked = Rule(1, "a", RuleType.UNIQUE, {"columns": ["odd"]})
+    evidence = runner.run_rules(spark, [checked], {}, source=df).evidence
+    plan = evidence._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    assert evidence.count() == 500
