@@ -1,9 +1,10 @@
-"""Licence scans by diagonal voting: word pairs are joined to template positions and counted by their offset."""
+"""Licence scans by diagonal voting: word pairs are joined to template positions, counted by their offset, and each span is verified."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
@@ -21,6 +22,8 @@ class Template:
     label: str
     words: str
     base: bool = False  # every place counts, and only where all words stand one after another
+    telling: tuple[str, ...] = ()  # words that must stand one after another, or it is another licence
+    version: int | None = None  # the place of its version number; a number that follows must be 0
 
 
 #: The phrases with their labels, and wordings of licences in common use.
@@ -28,14 +31,14 @@ TEMPLATES = (
     Template("cc-by", "cc by", base=True),
     Template("gpl", "general public license", base=True),
     Template("reserved", "all rights reserved", base=True),
-    Template("mit", "released under the mit license"),
+    Template("mit", "released under the mit license", telling=("the mit",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("apache-2.0", "licensed under the apache license version 2 0"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3"),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    Template("cc-by-4.0", "licensed under cc by 4 0"),
+    Template("apache-2.0", "licensed under the apache license version 2 0", telling=("apache license",), version=6),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", telling=("gnu general public license",), version=8),
+    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", telling=("cc by nc 4",), version=5),
+    Template("cc-by-4.0", "licensed under cc by 4 0", telling=("cc by 4",), version=4),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
-    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0"),
+    Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", telling=("mozilla public license",), version=10),
 )
 
 
@@ -52,13 +55,47 @@ def template_grams(spark: SparkSession, templates: Sequence[Template]) -> DataFr
     return small_frame(spark, rows, "gram string, template int, place int").withColumn("gram_hash", F.xxhash64("gram"))
 
 
+def longest_chain(matches: Column, grams: int) -> Column:
+    """(n, first, last) of the longest run of matches (at, back) whose places and positions both grow; ``back`` is the place negated."""
+    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def step(best: Column, match: Column) -> Column:
+        place = -match["back"]
+        before = F.coalesce(F.array_max(F.slice(best, 1, place)), none)
+        longer = F.struct((before["n"] + 1).alias("n"), F.coalesce(before["first"], match["at"]).alias("first"), (match["at"] + GRAM - 1).alias("last"))
+        return F.transform(best, lambda old, i: F.when((i == place) & (longer["n"] > old["n"]), longer).otherwise(old))
+
+    # of one position the last place comes first, so that it cannot follow an earlier one of the same position
+    return F.array_max(F.aggregate(F.sort_array(matches), F.array_repeat(none, grams), step))
+
+
+def tells(template: Template, matches: Column) -> Column:
+    """Whether the words that tell a template from other licences stand in a span, none put in or replaced."""
+    words, checks = template.words.split(" "), [F.lit(True)]
+    for phrase in template.telling:
+        wanted = phrase.split(" ")
+        at = next(i for i in range(len(words)) if words[i : i + len(wanted)] == wanted)
+        own = lambda i, at=at: F.transform(F.filter(matches, lambda m: m["back"] == -(at + i)), lambda m: m["at"] - i)
+        starts = own(0)
+        for i in range(1, len(wanted) - GRAM + 1):
+            starts = F.array_intersect(starts, own(i))
+        checks.append(F.size(starts) > 0)
+    if template.version is not None:
+        major = F.exists(matches, lambda m: (m["back"] == 1 - template.version) & (~m["next"].rlike("^[0-9]+$") | (m["next"] == "0")))
+        minor = F.exists(matches, lambda m: m["back"] == -template.version)
+        checks.append(major | minor if template.version < len(words) - 1 else major)
+    return reduce(lambda x, y: x & y, checks)
+
+
 def spans(documents: DataFrame, templates: Sequence[Template] = TEMPLATES, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, id, n_words, template, first, last, cover, exact): places of templates, and one row without template for each document.
+    """(row, id, n_words, template, first, last, cover, exact, base): places of templates, and one row without template for each document.
 
     Every two neighbouring words of a text are hashed and joined to the templates' grams; the words themselves are compared as
     well, so equal hashes of different words don't count. A match votes for its diagonal (place in the text less place in the
-    template). Diagonals at most three apart are merged into one span, which lets words be put in or left out; a span holds if
-    it covers enough of the template's grams. A span of one diagonal that covers all is the template word for word.
+    template). Diagonals at most three apart are merged into one span, which lets words be put in or left out; a span of one
+    diagonal that covers all is the template word for word. Each span with enough votes is verified: the template's places that
+    stand in it in order, each counted once, must cover enough of its grams, and the words that tell it from other licences must
+    be there. Of overlapping spans the one with the most places is kept.
 
     Joined rows are counted on the map side: what is dealt out are a document's diagonals, not its words.
     """
@@ -66,27 +103,58 @@ def spans(documents: DataFrame, templates: Sequence[Template] = TEMPLATES, id: s
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words.alias("words"))
     counted = rows.select("row", "id", F.size("words").cast("long").alias("n_words"), "words")
     pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.when(F.col("n_words") >= GRAM, pairs)
-    rolled = counted.select("row", "id", "n_words", F.posexplode_outer(grams).alias("at", "own_gram")).withColumn("own_hash", F.xxhash64("own_gram"))
+    grams = F.when(F.col("n_words") >= GRAM, F.arrays_zip(pairs.alias("own_gram"), F.slice("words", 3, F.size("words")).alias("next")))
+    rolled = counted.select("row", "id", "n_words", F.posexplode_outer(grams).alias("at", "own"))
+    rolled = rolled.select("row", "id", "n_words", "at", F.col("own")["own_gram"].alias("own_gram"), F.col("own")["next"].alias("next")).withColumn("own_hash", F.xxhash64("own_gram"))
     known = template_grams(documents.sparkSession, templates)
     voted = rolled.join(F.broadcast(known), (F.col("own_hash") == F.col("gram_hash")) & (F.col("own_gram") == F.col("gram")), "left")
+    per_template = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.col("template") + 1)
+    base = F.coalesce(per_template([t.base for t in templates]), F.lit(True))
+    match = F.struct("at", (-F.col("place")).alias("back"), F.coalesce("next", F.lit("")).alias("next"))
     diagonals = voted.groupBy("row", "id", "n_words", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        F.count("place").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high")
+        F.count("place").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list(F.when(~base, match)).alias("matches")
     )
     order = W.partitionBy("row", "template").orderBy("diagonal")
-    length = F.element_at(F.array(*(F.lit(len(t.words.split(" "))) for t in templates)), F.col("template") + 1)
-    base = F.element_at(F.array(*(F.lit(t.base) for t in templates)), F.col("template") + 1)
+    length = per_template([len(t.words.split(" ")) for t in templates])
     needed = length - GRAM + 1
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEIGHBOURS) | F.col("__base") | F.lag("diagonal").over(order).isNull()
-    marked = diagonals.withColumn("__base", F.coalesce(base, F.lit(True))).withColumn("span", F.sum(apart.cast("int")).over(order))
+    marked = diagonals.withColumn("__base", base).withColumn("span", F.sum(apart.cast("int")).over(order))
     merged = marked.groupBy("row", "id", "n_words", "template", "span").agg(
         F.sum("votes").alias("votes"), F.max("votes").alias("most"), F.min(F.col("diagonal") + F.col("low")).alias("first"),
-        F.max(F.col("diagonal") + F.col("high") + GRAM - 1).alias("last"), F.min("diagonal").alias("diagonal"), F.max("__base").alias("base"),
+        F.max(F.col("diagonal") + F.col("high") + GRAM - 1).alias("last"), F.max("__base").alias("base"), F.flatten(F.collect_list("matches")).alias("matches"),
     )
-    cover = F.least(F.col("votes") / needed, F.lit(1.0))
     exact = F.col("most") == needed
-    holds = F.when(F.col("base"), exact).otherwise((cover >= COVERAGE) & (F.col("last") - F.col("first") < length + NEIGHBOURS * 4))
-    return merged.select("row", "id", "n_words", F.when(holds, F.col("template")).alias("template"), "first", "last", cover.alias("cover"), exact.alias("exact"), "base")
+    voted_for = (F.col("votes") / needed >= COVERAGE) & (F.col("last") - F.col("first") < length + NEIGHBOURS * 4)
+    told = reduce(lambda other, n: other.when(F.col("template") == n, tells(templates[n], F.col("matches"))), range(1, len(templates)), F.when(F.col("template") == 0, tells(templates[0], F.col("matches"))))
+    chain = F.when(~F.col("base") & voted_for, F.when(told, longest_chain(F.col("matches"), max(len(t.words.split(" ")) for t in templates))))
+    verified = merged.select("row", "id", "n_words", "template", "first", "last", exact.alias("exact"), "base", needed.alias("needed"), chain.alias("chain"))
+    cover = F.when(F.col("base"), F.when(F.col("exact"), 1.0)).otherwise(F.col("chain")["n"] / F.col("needed"))
+    sure = verified.withColumn("cover", cover)
+    holds = F.when(F.col("base"), F.col("exact")).otherwise(F.col("cover") >= COVERAGE)
+    placed = lambda side: F.when(F.col("base"), F.col(side)).otherwise(F.coalesce(F.col("chain")[side].cast("long"), F.col(side)))
+    found = sure.select(
+        "row", "id", "n_words", F.when(holds, F.col("template")).alias("template"), placed("first").alias("first"), placed("last").alias("last"), "cover", "exact", "base", F.col("chain")["n"].alias("n")
+    )
+    return best_of_overlapping(found)
+
+
+def best_of_overlapping(found: DataFrame) -> DataFrame:
+    """Spans without those that overlap a better one: more places, then a larger cover, then the template listed first."""
+    rival = ~F.col("base") & F.col("template").isNotNull()
+    earlier = W.partitionBy("row").orderBy("rival", "first", "last", "template").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("rival"), F.col("last"))).over(earlier)
+    alone = ~F.col("rival") | reach.isNull() | (F.col("first") > reach)
+    islands = found.withColumn("rival", F.coalesce(rival, F.lit(False))).withColumn("alone", alone)
+    islands = islands.withColumn("island", F.count_if(F.col("alone")).over(earlier) + F.col("alone").cast("int"))
+    kept = F.collect_list(F.struct((-F.col("n")).alias("less"), (-F.col("cover")).alias("lower"), "template", "first", "last", "cover", "exact", "base"))
+    # an island is a row of its own, or spans that overlap
+    chosen = F.aggregate(
+        F.sort_array("all"), F.slice("all", 1, 0),
+        lambda best, s: F.when(F.exists(best, lambda b: (b["first"] <= s["last"]) & (s["first"] <= b["last"])), best).otherwise(F.concat(best, F.array(s))),
+    )
+    grouped = islands.groupBy("row", "id", "n_words", "island").agg(kept.alias("all"))
+    picked = grouped.select("row", "id", "n_words", F.explode(F.when(F.size("all") == 1, F.col("all")).otherwise(chosen)).alias("s"))
+    return picked.select("row", "id", "n_words", *(F.col("s")[c].alias(c) for c in ("template", "first", "last", "cover", "exact", "base")))
 
 
 def scan_licences(documents: DataFrame, templates: Sequence[Template] = TEMPLATES, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,6 +198,36 @@ def test_licences(spark, docs, empty):
     assert licences.scan_licences(docs).count() == len(ROWS) and licences.scan_licences(empty).count() == 0
 
 
+def test_licences_are_told_apart(spark):
+    texts = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+        "Licensed under CC BY-SA 4.0": "cc-by",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by",
+        "licensed under CC BY 3.0": "cc-by",
+        "This work is licensed under the GNU General Public License, version 2": "gpl",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+        "licensed under the GNU General Public License, either version 3 of it": "gpl,gpl-3.0",
+        "licensed under the GNU Lesser General Public License, version 3": "gpl",
+        "Licensed under the Apache License, Version 1.1": "",
+        "Licensed under the Apache License, Version 2.1": "",
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under the Apache License, Version 2": "apache-2.0",
+        "subject to the terms of the Mozilla Public License, v. 1.1": "",
+        "subject to the terms of the Mozilla Public License, version 2.0": "mpl-2.0",
+        "Released under the BSD license": "",
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0": "apache-2.0,mit",
+        "released under the released under the": "",  # places voted for twice
+        "with or without modification with or without modification with or redistribution and use in source": "",
+    }
+    rows = list(enumerate(texts))
+    found = by_id(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {text: found[i].labels for i, text in rows} == texts
+    rivals = (licences.Template("short", "one two three four"), licences.Template("long", "one two three four five six"))
+    best = licences.scan_licences(spark.createDataFrame([(1, "one two three four five six"), (2, "one two three four")], "doc_id long, text string"), rivals)
+    assert {i: (r.labels, r.score) for i, r in by_id(best).items()} == {1: ("long", 1.0), 2: ("short", 1.0)}
+
+
 def test_urls(spark):
     urls_seen = [
         "http://a.Example.org/en/1x?q", "https://example.org/es/2", "http://x.com/fr/a", "http://x.com/de/a", "http://y.net", None, "no url",
