@@ -23,12 +23,13 @@ BANDS, BAND = 51, 5
 REGISTERS = BANDS * BAND
 #: An estimate may fall this far short of the threshold before a pair is given up: five standard errors.
 MARGIN = 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
-#: A bucket with more classes than this is dealt out anew by further registers: so many bands of so many of them.
-CROWD, FINER_BANDS, FINER, LEVELS = 4_000, 16, 3, 3
+#: A bucket with more classes than this is dealt out anew by further registers: so many bands of so many of them. At similarity
+#: 0.75 a level misses one pair in 1.5 million, no more than the bands do.
+CROWD, FINER_BANDS, FINER, LEVELS = 4_000, 26, 3, 3
 #: Before classes of one bucket are brought together, one bit each of so many further minima is compared: linked pairs agree in 7
-#: of 8. A pair that differs in more bits than a linked one would by four standard errors is left out.
+#: of 8. A pair that differs in more bits than a linked one would by five standard errors is left out.
 LOOK_BITS = 4_096
-MOST_DIFFERENT = int(LOOK_BITS / 8 + 4 * (LOOK_BITS * 7 / 64) ** 0.5) + 1
+MOST_DIFFERENT = int(LOOK_BITS / 8 + 5 * (LOOK_BITS * 7 / 64) ** 0.5) + 1
 #: Identifiers of candidates are broadcast up to this number (16 MB); beyond it, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 ROWS_AT_ONCE = 500
@@ -89,7 +90,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def finer_keys(registers: np.ndarray, buckets: np.ndarray, level: int) -> np.ndarray:
-    """Keys of a bucket's parts: the bucket's key with three further registers, twelve times."""
+    """Keys of a bucket's parts: the bucket's key with three further registers, once for each finer band."""
     chosen = np.random.default_rng(100 + level).permutation(REGISTERS)[: FINER_BANDS * FINER].reshape(FINER_BANDS, FINER)
     h = buckets.view(np.uint64)[:, None] ^ (np.arange(1, FINER_BANDS + 1, dtype=np.uint64) * MIX)[None, :]
     for j in range(FINER):
@@ -167,7 +168,7 @@ def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             looks = [look(np.frombuffer(e, np.uint64)) for e in batch["elements"]]
-            yield batch[["class", "size"]].assign(look=looks, keys=list(band_keys(_registers(batch["registers"]))))
+            yield batch[["class", "size"]].assign(look=looks)
 
 
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,13 +297,16 @@ def _pairs_apart(apart: DataFrame, classes: DataFrame, sets: DataFrame) -> DataF
         ready = ready.union(split.filter(F.lit(last) | (F.col("members") <= CROWD)).select("bucket", "class", "component", F.lit(True)))
         crowded = split.filter(~F.lit(last) & (F.col("members") > CROWD)).select("bucket", "class", "component")
     wanted = cut_lineage(ready.select("class").distinct())
-    of_class = classes.select("class", "registers", F.col("n").alias("size")).join(wanted, "class", "left_semi").join(sets, "class")
-    looks = cut_lineage(of_class.mapInPandas(_look, "class bigint, size bigint, look array<bigint>, keys array<bigint>"))
+    of_class = classes.select("class", F.col("n").alias("size")).join(wanted, "class", "left_semi").join(sets, "class")
+    looks = cut_lineage(of_class.mapInPandas(_look, "class bigint, size bigint, look array<bigint>"))
+    # the uncrowded buckets of a class that are compared here: at most one for each band
+    own = ready.filter(~F.col("dealt")).groupBy("class").agg(F.sort_array(F.collect_set("bucket")).alias("keys"))
+    looks = cut_lineage(looks.join(own, "class", "left"))
     ready = ready.join(looks, "class")
     one = ready.select("bucket", F.col("class").alias("x"), F.col("component").alias("c"), F.col("look").alias("one"), F.col("size").alias("n"), F.col("keys").alias("k"), "dealt")
     other = ready.select("bucket", F.col("class").alias("y"), F.col("component").alias("d"), F.col("look").alias("other"), F.col("size").alias("m"), F.col("keys").alias("l"))
     alike = (F.col("n") * OF >= F.col("m") * SHARED) & (F.col("m") * OF >= F.col("n") * SHARED) & (different_bits("one", "other") <= MOST_DIFFERENT)
-    # of the buckets that a pair shares, the first brings it together
+    # of the uncrowded buckets that a pair shares, the first brings it together
     once = F.col("dealt") | (F.element_at(F.array_intersect("k", "l"), 1) == F.col("bucket"))
     crossing = one.join(other, "bucket").filter((F.col("c") < F.col("d")) & alike & once)
     return cut_lineage(crossing.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())

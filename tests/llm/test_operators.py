@@ -113,6 +113,32 @@ def test_near_copies_against_brute_force(spark, docs, empty):
     assert nearcopies.near_copies(empty).count() == 0
 
 
+def test_pairs_of_a_crowded_bucket_meet_in_their_others(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = {1: " ".join(words), 2: " ".join(["x", *words[1:]])}
+    sets = {i: nearcopies.shingles(t) for i, t in texts.items()}
+    registers = {i: nearcopies.sketch(s) for i, s in sets.items()}
+    keys = nearcopies.band_keys(np.stack([registers[1], registers[2]]))
+    first, second, *_ = [int(k) for k in keys[0] if k in keys[1]]
+    apart = [(bucket, i, i, members) for bucket, members in ((first, nearcopies.CROWD + 1), (second, 2)) for i in texts]
+    levels, nearcopies.LEVELS = nearcopies.LEVELS, 0  # as if no finer band brought them together
+    try:
+        pairs = nearcopies._pairs_apart(
+            spark.createDataFrame(apart, "bucket long, class long, component long, members long"),
+            spark.createDataFrame([(i, len(sets[i]), bytearray(registers[i].tobytes())) for i in texts], "class long, n long, registers binary"),
+            spark.createDataFrame([(i, bytearray(sets[i].tobytes())) for i in texts], "class long, elements binary"),
+        ).collect()
+    finally:
+        nearcopies.LEVELS = levels
+    assert [tuple(r) for r in pairs] == [(1, 2)]
+
+
+def test_finer_bands_and_look_miss_no_more_than_the_bands():
+    bands = (1 - 0.752**nearcopies.BAND) ** nearcopies.BANDS
+    assert (1 - 0.752**nearcopies.FINER) ** nearcopies.FINER_BANDS <= bands
+    assert nearcopies.MOST_DIFFERENT >= nearcopies.LOOK_BITS / 8 + 5 * (nearcopies.LOOK_BITS * 7 / 64) ** 0.5
+
+
 def test_sketches_merge_and_estimate():
     a = np.arange(1, 1001, dtype=np.uint64) * nearcopies.MIX
     b = np.arange(200, 1200, dtype=np.uint64) * nearcopies.MIX
