@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 from itertools import count
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote, urlsplit
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 ENCODING_NAMES = {"utf-8-sig": "utf-8", "cp1252": "latin-1", "windows-1252": "latin-1"}
 SPARK_CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
 DELIMITERS = (",", ";", "\t", "|")
-HEAD_LINES = 20
+#: Types that hold each other's values, narrow first; other differing types are read as text.
+WIDER = ("int", "bigint", "double")
 
 
 @dataclass(frozen=True, slots=True)
@@ -77,27 +79,58 @@ def sniff_delimiter(lines: Iterable[str]) -> str:
     return best if vote(best)[1] > 0 else ","
 
 
+def _delimiters(lines: DataFrame) -> DataFrame:
+    """Per file its delimiter, from all lines (path, block, line, value): as :func:`sniff_delimiter` chooses, in one pass."""
+    plain = lines.withColumn("value", F.regexp_replace("value", '"[^"]*"', "")).filter(F.trim("value") != "")
+    each = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
+    counted = plain.select("path", F.struct("block", "line").alias("at"), F.array(*each).alias("n"))
+    per_file = counted.groupBy("path").agg(
+        F.min_by("n", "at").alias("head"), *(f(F.col("n")[i]).alias(f"{f.__name__}_{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max))
+    )
+    # the even ones first, then the largest number in the first line, then the order of DELIMITERS
+    votes = [
+        F.struct(((F.col(f"min_{i}") == F.col(f"max_{i}")) & (F.col(f"min_{i}") > 0)).alias("even"), F.col("head")[i].alias("n"), F.lit(-i).alias("order"))
+        for i in range(len(DELIMITERS))
+    ]
+    best = F.greatest(*votes)
+    named = F.element_at(F.array(*(F.lit(d) for d in DELIMITERS)), 1 - best["order"])
+    return per_file.select("path", F.when(best["n"] > 0, named).otherwise(",").alias("delimiter"))
+
+
+def _lines(spark: SparkSession, paths: str | list[str], charset: str | None = None) -> DataFrame:
+    """The lines of files with their place: bytes as they are, or decoded from a charset whose line ends are wider than a byte."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if charset:  # one field a line: no character is a delimiter or a quote
+        reader = reader.option("encoding", charset).option("multiLine", "true").option("sep", "\u0001").option("quote", "").option("escape", "\u0002")
+        lines = reader.schema("value string").csv(paths)
+    else:
+        lines = reader.text(paths)
+    value = F.col("value") if charset else F.make_valid_utf8("value")
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), value.alias("value")
+    )
+
+
+def layouts(spark: SparkSession, path: str, encoding: str | None = None) -> dict[CsvLayout, list[str]]:
+    """The files of one source by the way they must be read: each file has its own encoding, delimiter and line breaks."""
+    named = encoding.lower() if encoding and encoding.lower() != "auto" else None
+    named = ENCODING_NAMES.get(named, named) if named else None
+    found = {r.path: (named or r.encoding, r.multi_line) for r in encodings(spark, path).collect()}
+    wide = [file for file, (charset, _) in found.items() if charset.startswith("utf-16")]
+    delimiters = {r.path: r.delimiter for r in _delimiters(_lines(spark, path)).collect()} if len(wide) < len(found) else {}
+    for charset in {found[file][0] for file in wide}:
+        own = _delimiters(_lines(spark, [unquote(file) for file in wide], SPARK_CHARSETS.get(charset, charset)))
+        delimiters |= {r.path: r.delimiter for r in own.collect()}
+    groups: dict[CsvLayout, list[str]] = {}
+    for file, (charset, multi_line) in sorted(found.items()):
+        how = CsvLayout(charset, delimiters.get(file, ","), bool(multi_line) or file in wide)
+        groups.setdefault(how, []).append(unquote(file))
+    return groups
+
+
 def layout(spark: SparkSession, path: str, encoding: str | None = None) -> CsvLayout:
-    """How to read one file or one folder of like files."""
-    found = encodings(spark, path).agg(
-        F.max(F.col("encoding") == "utf-16").alias("utf16"),
-        F.max(F.col("encoding") == "latin-1").alias("latin1"),
-        F.max("multi_line").alias("multi_line"),
-    ).first()
-    if not encoding or encoding.lower() == "auto":
-        encoding = "utf-16" if found.utf16 else "latin-1" if found.latin1 else "utf-8"
-    encoding = ENCODING_NAMES.get(encoding.lower(), encoding.lower())
-    wide = encoding.startswith("utf-16")
-    return CsvLayout(encoding, sniff_delimiter(_head(spark, path, wide)), bool(found.multi_line) or wide)
-
-
-def _head(spark: SparkSession, path: str, wide: bool) -> list[str]:
-    if wide:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        first = files.select(F.substring("content", 1, 32_768).alias("head")).first()
-        return bytes(first.head).decode("utf-16", errors="ignore").splitlines()[:HEAD_LINES] if first else []
-    rows = spark.read.text(path).select(F.make_valid_utf8("value").alias("value")).take(HEAD_LINES)
-    return [row.value for row in rows]
+    """How to read one file or one folder of like files; of files that differ, the first's (see :func:`layouts`)."""
+    return next(iter(layouts(spark, path, encoding)), CsvLayout(encoding or "utf-8", ",", False))
 
 
 def read_csv(
@@ -109,9 +142,23 @@ def read_csv(
     header: bool = True,
     known: CsvLayout | None = None,
 ) -> DataFrame:
-    """A CSV file or folder as a DataFrame. For large sources pass ``schema`` and the ``known`` layout, which saves
-    the pass that infers types and the one that looks at every line."""
-    how = known or layout(spark, path, encoding)
+    """A CSV file or folder as a DataFrame. Files of one layout are read together, those of several put together by column name.
+    For large sources pass ``schema`` and the ``known`` layout, which saves the pass that infers types and those that look at
+    every line."""
+    groups = {known: [path]} if known else layouts(spark, path, encoding)
+    if len(groups) < 2:
+        how = next(iter(groups), CsvLayout("utf-8", ",", False))
+        return _read(spark, how, [path], schema, header)
+    frames = [_read(spark, how, files, schema, header) for how, files in groups.items()]
+    if not schema:
+        frames = [
+            _read(spark, how, files, own, header) if own != _types(frame) else frame
+            for (how, files), frame, own in zip(groups.items(), frames, _common_types(frames), strict=True)
+        ]
+    return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), frames)
+
+
+def _read(spark: SparkSession, how: CsvLayout, paths: list[str], schema: object, header: bool) -> DataFrame:
     reader = (
         spark.read.option("header", header)
         .option("sep", how.delimiter)
@@ -121,7 +168,21 @@ def read_csv(
         .option("escape", '"')
         .option("recursiveFileLookup", "true")
     )
-    return (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(path)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", "true")).csv(paths)
+
+
+def _types(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+def _common_types(frames: list[DataFrame]) -> list[str]:
+    """Each frame's schema with the types that hold every frame's values, as inference over all files would choose."""
+    seen: dict[str, set[str]] = {}
+    for frame in frames:
+        for field in frame.schema.fields:
+            seen.setdefault(field.name, set()).add(field.dataType.simpleString())
+    common = {name: next(iter(types)) if len(types) == 1 else max(types, key=WIDER.index) if types <= set(WIDER) else "string" for name, types in seen.items()}
+    return [", ".join(f"`{name.replace('`', '``')}` {common[name]}" for name in frame.columns) for frame in frames]
 
 
 def schema_frame(df: DataFrame) -> DataFrame:

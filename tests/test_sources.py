@@ -111,3 +111,17 @@ def test_folder_of_part_files_is_one_table(spark, tmp_path):
     wide = spark.range(1000).selectExpr("cast(id as string) AS t")
     assert search_evidence(wide, "99").count() == 19
     assert search_evidence(wide, "99", shown=5).count() == 5
+
+
+def test_files_of_a_folder_are_detected_one_by_one(spark, tmp_path):
+    late = "x;y\n" + "".join(f"{i};v\n" for i in range(30))
+    (tmp_path / "part-0.csv").write_bytes("k,name,note\n1,é,\"a;b\"\n2,ü,c\n".encode())
+    (tmp_path / "part-1 b.csv").write_bytes("k;note;name\n3;d;ö\nx4;e;ä\n".encode())
+    (tmp_path / "part-2.csv").write_bytes("k|name|note\n05|ß|f\n".encode("latin-1"))
+    (tmp_path / "part-3.csv").write_bytes("k\tname\tnote\n6\t粀,|\tg\n".encode("utf-16"))
+    rows = {(r.k, r.name, r.note) for r in csv.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {("1", "é", "a;b"), ("2", "ü", "c"), ("3", "ö", "d"), ("x4", "ä", "e"), ("05", "ß", "f"), ("6", "粀,|", "g")}
+    single = tmp_path / "one"
+    single.mkdir()
+    (single / "late.csv").write_text(late + "31;a,b\n")
+    assert csv.read_csv(spark, str(single)).count() == 31 and csv.layout(spark, str(single)).delimiter == ";"
