@@ -19,6 +19,8 @@ BLOCK_WORDS = (
     "tracking viagra warez win winner xxx"
 ).split()
 LONGEST_WORD = 24
+#: A name is a first example of block if words of the list make up this share of its letters, and counted words the rest.
+LISTED_SHARE = 0.75
 #: A path of numbers says nothing of its own: a run of digits is one token.
 NUMBER = "#"
 
@@ -49,7 +51,8 @@ def letters(text: Column) -> Column:
 
 
 def segment_names(names: DataFrame, counts: DataFrame, seeds: Sequence[str] = BLOCK_WORDS) -> DataFrame:
-    """(name, words): each distinct name split into the words that make it likeliest under unigram counts.
+    """(name, words, listed): each distinct name split into the words that make it likeliest under unigram counts, and whether
+    words of the list make it up, or nearly so with counted words as the rest: an ordinary name that holds one is not listed.
 
     Parts of a name of 2 to 24 letters are joined to the words counted in the corpus, so no dictionary is sent around; Viterbi
     runs on the words found for one name. A stretch that no word covers costs more than any word, the more the longer it is, and less in one piece.
@@ -81,18 +84,25 @@ def segment_names(names: DataFrame, counts: DataFrame, seeds: Sequence[str] = BL
             end = start
         return words[::-1]
 
+    def is_listed(name: str, words: list[str], known: dict[str, int]) -> bool:
+        explained = all(w in seeded or w in known for w in words)
+        return explained and sum(len(w) for w in words if w in seeded) >= LISTED_SHARE * len(name)
+
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"name": batch["name"], "words": [viterbi(n, dict(k or {})) for n, k in zip(batch["name"], batch["known"], strict=True)]})
+            known = [dict(k or {}) for k in batch["known"]]
+            words = [viterbi(n, k) for n, k in zip(batch["name"], known, strict=True)]
+            listed = [is_listed(n, w, k) for n, w, k in zip(batch["name"], words, known, strict=True)]
+            yield pd.DataFrame({"name": batch["name"], "words": words, "listed": listed})
 
-    return found.mapInPandas(split, "name string, words array<string>")
+    return found.mapInPandas(split, "name string, words array<string>, listed boolean")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
     """(id, host, path, rule, verdict, score, host_words) of each row; score is the classifier's probability of block.
 
     1. Words are counted over all paths and page titles. 2. Each distinct run of letters in a host is segmented. 3. Hosts with a
-    word of the starting list are the first examples of block, all others of allow; a multinomial naive Bayes model counts, over
+    name made up of the starting list's words, or nearly, are the first examples of block, all others of allow; a multinomial naive Bayes model counts, over
     all pages, the words of hosts and the tokens of paths in both classes. 4. Each page is scored by its tokens; a rule that
     fits decides before the score.
 
@@ -111,10 +121,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id: s
     in_hosts = hosts.select("host", "pages", F.posexplode_outer(letters(F.col("host"))).alias("at", "name"))
     segmented = segment_names(in_hosts.select("name").filter("name IS NOT NULL").distinct(), counts)
     named = in_hosts.join(segmented, "name", "left")
-    is_seed = F.arrays_overlap("words", F.array(*(F.lit(w) for w in BLOCK_WORDS)))
     worded = named.groupBy("host", "pages").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "words"))), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("host_words"),
-        F.coalesce(F.bool_or(is_seed), F.lit(False)).alias("bad"),
+        F.coalesce(F.bool_or("listed"), F.lit(False)).alias("bad"),
     )
     known_hosts = cut_lineage(worded.join(hosts.select("host", "paths"), "host"))
     n_pairs = pairs.count()

@@ -272,6 +272,18 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_ordinary_names_that_hold_a_block_word_are_no_examples(spark):
+    ordinary = ("roads", "bread", "thread", "headline", "windows", "essex", "alphabet", "freedom")
+    listed = ("freebets", "cheappills", "casino", "freebetsuk")
+    names = spark.createDataFrame([(n,) for n in ordinary + listed], "name string")
+    counts = spark.createDataFrame([(w, 50) for w in ("es", "re", "do", "he", "in", "al", "ha", "ro", "uk", "ws")], "word string, n long")
+    found = by_id(urls.segment_names(names, counts), "name")
+    assert {n for n, r in found.items() if r.listed} == set(listed)
+    rows = [(i, f"http://{n}.net/{i}", None) for i, n in enumerate(ordinary + ("freebets", "other", "plain", "quiet"))]
+    judged = by_id(urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {i for i, r in judged.items() if r.verdict == "block"} <= {len(ordinary)}
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((20, 16))
