@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -19,7 +18,7 @@ SCALE = 256
 #: Anchors are compared in batches whose vectors fill so many bytes: what is sent to each task.
 BATCH_BYTES = 1 << 25
 #: Rows multiplied at a time, as scores of all anchors of a batch in one task's memory.
-SCORES = 1 << 22
+SCORES = 1 << 20
 EXACT_DOUBLE, EXACT_LONG = 2**53, 2**63
 
 
@@ -45,7 +44,8 @@ class Anchors:
 
     def __init__(self, rows: list, windows: dict[int, list[tuple[int, int]]] | None = None):
         self.rows = np.array([r["row"] for r in rows], np.int64)
-        self.labels = np.array([r["label"] for r in rows], object)
+        self.names: dict[str, int] = {}
+        self.labels = np.array([self.names.setdefault(r["label"], len(self.names)) for r in rows], np.int64)
         self.vectors = np.array([list(r["vector"]) for r in rows], np.int64).reshape(len(rows), len(rows[0]["vector"]))
         self.low = np.full((POSITIVES, len(rows)), 1, np.int64)
         self.high = np.zeros((POSITIVES, len(rows)), np.int64)
@@ -69,7 +69,11 @@ class Best:
         self.least = np.full(columns, np.iinfo(np.int64).min)  # below it nothing can be among the first
 
     def add(self, scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        at, column = np.nonzero(allowed & (scores >= self.least))
+        least = self.least
+        if len(scores) > self.keep:
+            known = np.partition(np.where(allowed, scores, np.iinfo(np.int64).min), len(scores) - self.keep, axis=0)
+            least = np.maximum(least, known[len(scores) - self.keep])
+        at, column = np.nonzero(allowed & (scores >= least))
         if not len(at):
             return
         found = [np.concatenate(pair) for pair in zip(self.found, (column, scores[at, column], ids[at], rows[at]))]
@@ -97,7 +101,8 @@ def compared(groups: dict[int, Anchors], positives: bool) -> Callable[[Iterator[
                     part = same.iloc[at : at + step]
                     ids, rows = part["id"].to_numpy(np.int64), part["row"].to_numpy(np.int64)
                     scores = anchors.scores(np.stack([np.asarray(v, np.int64) for v in part["vector"]]).reshape(len(part), size))
-                    alike = part["label"].to_numpy(object)[:, None] == anchors.labels[None, :]
+                    labels = np.array([anchors.names.get(name, -1) for name in part["label"]], np.int64)
+                    alike = labels[:, None] == anchors.labels[None, :]
                     if positives:
                         alike &= rows[:, None] != anchors.rows[None, :]
                         best.setdefault((size, 0), Best(len(anchors.rows), POSITIVES)).add(scores, alike, ids, rows)
@@ -226,7 +231,8 @@ scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, l
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
 positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
   QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {POSITIVES})
-SELECT anchor_id, positive_id, (row_number() OVER o)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id,
+  positive_score, score AS negative_score
 FROM positives JOIN scored USING (anchor_id) WHERE NOT alike AND {LEAST} * positive_score <= 100 * score AND 100 * score <= {MOST} * positive_score
-QUALIFY row_number() OVER o <= {NEGATIVES} WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY rank <= {NEGATIVES}
 """
