@@ -27,6 +27,7 @@ BLOCK_WORDS, TEXT_PIECE = 1 << 20, 1 << 22
 BATCH_WORDS, ITEM_PIECE = 1 << 19, 1 << 12
 #: Places looked at in one step, which bounds a task's memory.
 STEP = 1 << 21
+MATCHES = "block long, place int, classes array<string>, firsts array<long>, lasts array<long>"
 INDEX = "block long, term string, n long, places binary, starts array<long>, sizes array<long>"
 
 
@@ -253,7 +254,8 @@ def matcher(wanted: Wanted, slack: int) -> Callable[[pd.DataFrame], pd.DataFrame
 
 
 def find_phrases(index: DataFrame, pieces: DataFrame, window: int = WINDOW, slack: int = 0) -> DataFrame:
-    """(block, place, classes, spans): the documents (by block and place in it) with matches, their items and matched word spans.
+    """(block, place, classes, firsts, lasts): the documents (by block and place in it) with matches, their items and the spans of
+    matched words, which neither overlap nor touch.
 
     With ``slack`` 0 the words of a window stand one after another; otherwise each stands within so many words of the place it
     should have, seen from the window's rarest word. Batches of pieces are searched for one after another, each in all blocks.
@@ -272,28 +274,27 @@ def find_phrases(index: DataFrame, pieces: DataFrame, window: int = WINDOW, slac
         wanted.rarest_first({r["term"]: r["n"] for r in counts})
         used = small_frame(spark, [("",), *((t,) for t in wanted.terms)], "term string")
         lists = index.select("block", "term", "n", "places", "starts", "sizes").join(F.broadcast(used), "term", "left_semi")
-        schema = "block long, place int, classes array<string>, firsts array<long>, lasts array<long>"
-        found.append(lists.groupBy("block").applyInPandas(matcher(wanted, slack), schema))
+        found.append(lists.groupBy("block").applyInPandas(matcher(wanted, slack), MATCHES))
     if not found:
-        return spark.createDataFrame([], "block long, place int, classes array<string>, spans array<struct<first:bigint,last:bigint>>")
-    spans = F.arrays_zip(F.col("firsts").alias("first"), F.col("lasts").alias("last"))
-    return (
-        reduce(DataFrame.unionAll, found)
-        .withColumn("spans", spans)
-        .groupBy("block", "place")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    )
-
-
-def covered(spans: Column) -> Column:
-    """How many words sorted spans cover, each counted once."""
-    none = F.struct(F.lit(-1).cast("long").alias("reach"), F.lit(0).cast("long").alias("n"))
+        return spark.createDataFrame([], MATCHES)
+    if len(found) == 1:
+        return found[0]
+    several = reduce(DataFrame.unionAll, found).groupBy("block", "place")
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return several.agg(F.array_distinct(flat("classes")).alias("classes"), flat("firsts"), flat("lasts")).mapInPandas(merge_spans, MATCHES)
 
-    def add(sum: Column, span: Column) -> Column:
-        new = F.greatest(F.lit(0), span["last"] - F.greatest(span["first"], sum["reach"] + 1) + 1)
-        return F.struct(F.greatest(sum["reach"], span["last"]).alias("reach"), (sum["n"] + new).alias("n"))
 
-    return F.aggregate(spans, none, add)["n"]
+def merge_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose spans neither overlap nor touch, in order: what several batches found in a document may do both."""
+    for batch in batches:
+        firsts, lasts = [], []
+        for first, last in zip(batch["firsts"], batch["lasts"]):
+            order = np.argsort(first, kind="stable")
+            first, reach = first[order], np.maximum.accumulate(last[order])
+            begins = np.concatenate([[True], first[1:] > reach[:-1] + 1])
+            firsts.append(first[begins])
+            lasts.append(reach[np.concatenate([begins[1:], [True]])])
+        yield batch.assign(firsts=firsts, lasts=lasts)
 
 
 def contamination(
@@ -310,11 +311,13 @@ def contamination(
     """
     index = build_index(documents, id, text)
     pieces, items = phrases(benchmark, window, item_id, item_text)
-    found = cut_lineage(find_phrases(index, pieces, window, slack).withColumn("set", F.md5(F.concat_ws(" ", "classes"))))
+    found = cut_lineage(find_phrases(index, pieces, window, slack).withColumn("set", F.md5(F.concat_ws(" ", F.array_sort("classes")))))
     # documents with the same items share one digest
     sets = found.groupBy("set").agg(F.first("classes").alias("classes")).select("set", F.explode("classes").alias("class"))
     names = sets.join(items, "class").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    matched = found.join(names, "set", "left").select("block", "place", covered(F.col("spans")).alias("n_hit"), "items", "spans")
+    spans = F.arrays_zip(F.col("firsts").alias("first"), F.col("lasts").alias("last"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["last"] - span["first"] + 1)
+    matched = found.withColumn("spans", spans).join(names, "set", "left").select("block", "place", n_hit.alias("n_hit"), "items", "spans")
     listed = index.filter("term = ''").select("block", F.posexplode(F.arrays_zip("ids", "sizes")).alias("place", "own"))
     rows = listed.select("block", "place", F.col("own")["ids"].alias("__id"), F.col("own")["sizes"].alias("n_words"))
     joined = rows.join(matched, ["block", "place"], "left")
