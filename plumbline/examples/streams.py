@@ -114,30 +114,6 @@ def csv_mixed_folder(spark: SparkSession, path: str) -> DataFrame:
     return csv.read_csv(spark, f"{where}/mixed").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand")
 
 
-@registered("SELECT p_partkey, regexp_replace(p_name, 'r', 'é', 'g') AS p_name, p_brand FROM part")
-def csv_mixed_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One folder whose files differ in delimiter, encoding and order of columns, read as one table."""
-    where = scratch(spark, "csv")
-    parts = table(spark, path, "part").select("p_partkey", F.regexp_replace("p_name", "r", "é").alias("p_name"), "p_brand")
-    kinds = ((",", "UTF-8"), (";", "UTF-8"), ("|", "ISO-8859-1"), ("\t", "UTF-16"))
-    for i, (sep, encoding) in enumerate(kinds):
-        own = parts.filter(F.col("p_partkey") % len(kinds) == i)
-        write_csv(own.select(*(reversed(parts.columns) if i == 1 else parts.columns)), f"{where}/mixed/{i}", sep, encoding)
-    return csv.read_csv(spark, f"{where}/mixed").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand")
-
-
-@registered("SELECT p_partkey, regexp_replace(p_name, 'r', 'é', 'g') AS p_name, p_brand FROM part")
-def csv_mixed_folder(spark: SparkSession, path: str) -> DataFrame:
-    """One folder whose files differ in delimiter, encoding and order of columns, read as one table."""
-    where = scratch(spark, "csv")
-    parts = table(spark, path, "part").select("p_partkey", F.regexp_replace("p_name", "r", "é").alias("p_name"), "p_brand")
-    kinds = ((",", "UTF-8"), (";", "UTF-8"), ("|", "ISO-8859-1"), ("\t", "UTF-16"))
-    for i, (sep, encoding) in enumerate(kinds):
-        own = parts.filter(F.col("p_partkey") % len(kinds) == i)
-        write_csv(own.select(*(reversed(parts.columns) if i == 1 else parts.columns)), f"{where}/mixed/{i}", sep, encoding)
-    return csv.read_csv(spark, f"{where}/mixed").select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "p_brand")
-
-
 @registered(
     "SELECT 'latin-1' AS encoding, FALSE AS multi_line, count(*) > 0 AS found FROM part WHERE contains(p_name, 'r') UNION ALL "
     "SELECT 'utf-8', TRUE, count(*) > 0 FROM documents WHERE contains(text, chr(10)) UNION ALL SELECT 'utf-16', FALSE, count(*) > 0 FROM nation"

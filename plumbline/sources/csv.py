@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Sequence
-from itertools import count
 from dataclasses import dataclass
 from functools import reduce
-from functools import reduce
-from functools import reduce
+from itertools import count
 from pathlib import PurePosixPath
 from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from plumbline.sources.records import land_records
 
 # Other names for encodings, and the delimiters that are tried.
 ENCODING_NAMES = {"utf-8-sig": "utf-8", "cp1252": "latin-1", "windows-1252": "latin-1"}
@@ -27,10 +27,11 @@ class CsvLayout:
     encoding: str
     delimiter: str
     multi_line: bool
+    large: bool = False  # larger than one split, so that one task a file would be slow
 
 
-def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Per file: ``path``, ``encoding`` and whether a quoted field spans lines (``multi_line``).
+def detect(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Per file, in one pass over all lines: ``path``, ``encoding``, ``multi_line`` (a quoted field spans lines), ``delimiter``, ``size``.
 
     The text reader hands over raw bytes, so the strict UTF-8 test runs on every line in the JVM, split by split,
     with no limit on file size. A file starting with a UTF-16 mark is utf-16; invalid UTF-8 means latin-1.
@@ -38,33 +39,29 @@ def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     raw = F.col("value").cast("binary")
     # Bytes, not characters: other encodings have no characters here.
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    at_start = F.when(F.col("block") == 0, F.col("line"))
-    return (
+    lines = (
         spark.read.option("recursiveFileLookup", "true")
         .text(paths)
         .select(
             F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
+            F.col("_metadata.file_size").alias("size"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"),
             F.hex(F.substring(raw, 1, 2)).alias("mark"),
             F.is_valid_utf8("value").alias("valid"),
             (quotes % 2 == 1).alias("open_quote"),
+            _counts(F.make_valid_utf8("value")).alias("n"),
         )
-        .groupBy("path")
-        .agg(
-            F.min_by("mark", at_start).alias("mark"),
-            F.bool_and("valid").alias("valid"),
-            F.bool_or("open_quote").alias("multi_line"),
-        )
-        .select(
-            "path",
-            F.when(F.col("mark").isin("FFFE", "FEFF"), "utf-16")
-            .when(F.col("valid"), "utf-8")
-            .otherwise("latin-1")
-            .alias("encoding"),
-            "multi_line",
-        )
     )
+    found = lines.groupBy("path").agg(
+        F.min_by("mark", "at").alias("mark"), F.bool_and("valid").alias("valid"), F.bool_or("open_quote").alias("multi_line"), F.max("size").alias("size"), *_votes()
+    )
+    encoding = F.when(F.col("mark").isin("FFFE", "FEFF"), "utf-16").when(F.col("valid"), "utf-8").otherwise("latin-1")
+    return found.select("path", encoding.alias("encoding"), "multi_line", _winner().alias("delimiter"), "size")
+
+
+def encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Per file: ``path``, ``encoding`` and whether a quoted field spans lines (``multi_line``)."""
+    return detect(spark, paths).select("path", "encoding", "multi_line")
 
 
 def sniff_delimiter(lines: Iterable[str]) -> str:
@@ -81,153 +78,67 @@ def sniff_delimiter(lines: Iterable[str]) -> str:
     return best if vote(best)[1] > 0 else ","
 
 
-def _delimiters(lines: DataFrame) -> DataFrame:
-    """Per file its delimiter, from all lines (path, block, line, value): as :func:`sniff_delimiter` chooses, in one pass."""
-    plain = lines.withColumn("value", F.regexp_replace("value", '"[^"]*"', "")).filter(F.trim("value") != "")
-    each = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
-    counted = plain.select("path", F.struct("block", "line").alias("at"), F.array(*each).alias("n"))
-    per_file = counted.groupBy("path").agg(
-        F.min_by("n", "at").alias("head"), *(f(F.col("n")[i]).alias(f"{f.__name__}_{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max))
-    )
-    # the even ones first, then the largest number in the first line, then the order of DELIMITERS
-    votes = [
-        F.struct(((F.col(f"min_{i}") == F.col(f"max_{i}")) & (F.col(f"min_{i}") > 0)).alias("even"), F.col("head")[i].alias("n"), F.lit(-i).alias("order"))
-        for i in range(len(DELIMITERS))
-    ]
-    best = F.greatest(*votes)
-    named = F.element_at(F.array(*(F.lit(d) for d in DELIMITERS)), 1 - best["order"])
-    return per_file.select("path", F.when(best["n"] > 0, named).otherwise(",").alias("delimiter"))
-
-
-def _lines(spark: SparkSession, paths: str | list[str], charset: str | None = None) -> DataFrame:
-    """The lines of files with their place: bytes as they are, or decoded from a charset whose line ends are wider than a byte."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if charset:  # one field a line: no character is a delimiter or a quote
-        reader = reader.option("encoding", charset).option("multiLine", "true").option("sep", "\u0001").option("quote", "").option("escape", "\u0002")
-        lines = reader.schema("value string").csv(paths)
-    else:
-        lines = reader.text(paths)
-    value = F.col("value") if charset else F.make_valid_utf8("value")
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), value.alias("value")
-    )
+def _counts(value: Column) -> Column:
+    """How often each delimiter stands outside quotes in a line; null for a blank line."""
+    plain = F.regexp_replace(value, '"[^"]*"', "")
+    each = F.array(*(F.length(plain) - F.length(F.replace(plain, F.lit(d), F.lit(""))) for d in DELIMITERS))
+    return F.when(F.trim(plain) != "", each)
 
 
-def layouts(spark: SparkSession, path: str, encoding: str | None = None) -> dict[CsvLayout, list[str]]:
-    """The files of one source by the way they must be read: each file has its own encoding, delimiter and line breaks."""
-    named = encoding.lower() if encoding and encoding.lower() != "auto" else None
-    named = ENCODING_NAMES.get(named, named) if named else None
-    found = {r.path: (named or r.encoding, r.multi_line) for r in encodings(spark, path).collect()}
-    wide = [file for file, (charset, _) in found.items() if charset.startswith("utf-16")]
-    delimiters = {r.path: r.delimiter for r in _delimiters(_lines(spark, path)).collect()} if len(wide) < len(found) else {}
-    for charset in {found[file][0] for file in wide}:
-        own = _delimiters(_lines(spark, [unquote(file) for file in wide], SPARK_CHARSETS.get(charset, charset)))
-        delimiters |= {r.path: r.delimiter for r in own.collect()}
-    groups: dict[CsvLayout, list[str]] = {}
-    for file, (charset, multi_line) in sorted(found.items()):
-        how = CsvLayout(charset, delimiters.get(file, ","), bool(multi_line) or file in wide)
-        groups.setdefault(how, []).append(unquote(file))
-    return groups
+def _votes() -> list[Column]:
+    """Of a file's lines: the first one's counts, and the least and greatest count of each delimiter."""
+    filled = F.when(F.col("n").isNotNull(), F.col("at"))
+    return [F.min_by("n", filled).alias("head"), *(f(F.col("n")[i]).alias(f"{f.__name__}_{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max))]
 
 
-def _delimiters(lines: DataFrame) -> DataFrame:
-    """Per file its delimiter, from all lines (path, block, line, value): as :func:`sniff_delimiter` chooses, in one pass."""
-    plain = lines.withColumn("value", F.regexp_replace("value", '"[^"]*"', "")).filter(F.trim("value") != "")
-    each = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
-    counted = plain.select("path", F.struct("block", "line").alias("at"), F.array(*each).alias("n"))
-    per_file = counted.groupBy("path").agg(
-        F.min_by("n", "at").alias("head"), *(f(F.col("n")[i]).alias(f"{f.__name__}_{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max))
-    )
-    # the even ones first, then the largest number in the first line, then the order of DELIMITERS
+def _winner() -> Column:
+    """The delimiter that :func:`sniff_delimiter` would choose: the even ones first, then the largest number in the first line,
+    then the order of DELIMITERS."""
     votes = [
         F.struct(((F.col(f"min_{i}") == F.col(f"max_{i}")) & (F.col(f"min_{i}") > 0)).alias("even"), F.col("head")[i].alias("n"), F.lit(-i).alias("order"))
         for i in range(len(DELIMITERS))
     ]
     best = F.greatest(*votes)
-    named = F.element_at(F.array(*(F.lit(d) for d in DELIMITERS)), 1 - best["order"])
-    return per_file.select("path", F.when(best["n"] > 0, named).otherwise(",").alias("delimiter"))
-
-
-def _lines(spark: SparkSession, paths: str | list[str], charset: str | None = None) -> DataFrame:
-    """The lines of files with their place: bytes as they are, or decoded from a charset whose line ends are wider than a byte."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if charset:  # one field a line: no character is a delimiter or a quote
-        reader = reader.option("encoding", charset).option("multiLine", "true").option("sep", "\u0001").option("quote", "").option("escape", "\u0002")
-        lines = reader.schema("value string").csv(paths)
-    else:
-        lines = reader.text(paths)
-    value = F.col("value") if charset else F.make_valid_utf8("value")
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), value.alias("value")
-    )
-
-
-def layouts(spark: SparkSession, path: str, encoding: str | None = None) -> dict[CsvLayout, list[str]]:
-    """The files of one source by the way they must be read: each file has its own encoding, delimiter and line breaks."""
-    named = encoding.lower() if encoding and encoding.lower() != "auto" else None
-    named = ENCODING_NAMES.get(named, named) if named else None
-    found = {r.path: (named or r.encoding, r.multi_line) for r in encodings(spark, path).collect()}
-    wide = [file for file, (charset, _) in found.items() if charset.startswith("utf-16")]
-    delimiters = {r.path: r.delimiter for r in _delimiters(_lines(spark, path)).collect()} if len(wide) < len(found) else {}
-    for charset in {found[file][0] for file in wide}:
-        own = _delimiters(_lines(spark, [unquote(file) for file in wide], SPARK_CHARSETS.get(charset, charset)))
-        delimiters |= {r.path: r.delimiter for r in own.collect()}
-    groups: dict[CsvLayout, list[str]] = {}
-    for file, (charset, multi_line) in sorted(found.items()):
-        how = CsvLayout(charset, delimiters.get(file, ","), bool(multi_line) or file in wide)
-        groups.setdefault(how, []).append(unquote(file))
-    return groups
+    return F.when(best["n"] > 0, F.element_at(F.array(*(F.lit(d) for d in DELIMITERS)), 1 - best["order"])).otherwise(",")
 
 
-def _delimiters(lines: DataFrame) -> DataFrame:
-    """Per file its delimiter, from all lines (path, block, line, value): as :func:`sniff_delimiter` chooses, in one pass."""
-    plain = lines.withColumn("value", F.regexp_replace("value", '"[^"]*"', "")).filter(F.trim("value") != "")
-    each = [F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))) for d in DELIMITERS]
-    counted = plain.select("path", F.struct("block", "line").alias("at"), F.array(*each).alias("n"))
-    per_file = counted.groupBy("path").agg(
-        F.min_by("n", "at").alias("head"), *(f(F.col("n")[i]).alias(f"{f.__name__}_{i}") for i in range(len(DELIMITERS)) for f in (F.min, F.max))
-    )
-    # the even ones first, then the largest number in the first line, then the order of DELIMITERS
-    votes = [
-        F.struct(((F.col(f"min_{i}") == F.col(f"max_{i}")) & (F.col(f"min_{i}") > 0)).alias("even"), F.col("head")[i].alias("n"), F.lit(-i).alias("order"))
-        for i in range(len(DELIMITERS))
-    ]
-    best = F.greatest(*votes)
-    named = F.element_at(F.array(*(F.lit(d) for d in DELIMITERS)), 1 - best["order"])
-    return per_file.select("path", F.when(best["n"] > 0, named).otherwise(",").alias("delimiter"))
-
-
-def _lines(spark: SparkSession, paths: str | list[str], charset: str | None = None) -> DataFrame:
-    """The lines of files with their place: bytes as they are, or decoded from a charset whose line ends are wider than a byte."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if charset:  # one field a line: no character is a delimiter or a quote
-        reader = reader.option("encoding", charset).option("multiLine", "true").option("sep", "\u0001").option("quote", "").option("escape", "\u0002")
-        lines = reader.schema("value string").csv(paths)
-    else:
-        lines = reader.text(paths)
-    value = F.col("value") if charset else F.make_valid_utf8("value")
-    return lines.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), value.alias("value")
-    )
+def _wide_delimiters(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
+    """Per file its delimiter, from lines decoded from a charset whose line ends are wider than a byte."""
+    reader = spark.read.option("encoding", charset).option("multiLine", "true")
+    # one field a line: no character is a delimiter or a quote
+    lines = reader.option("sep", "\u0001").option("quote", "").option("escape", "\u0002").schema("value string").csv(paths)
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    counted = lines.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), _counts(F.col("value")).alias("n"))
+    return counted.groupBy("path").agg(*_votes()).select("path", _winner().alias("delimiter"))
 
 
 def layouts(spark: SparkSession, path: str, encoding: str | None = None) -> dict[CsvLayout, list[str]]:
     """The files of one source by the way they must be read: each file has its own encoding, delimiter and line breaks."""
     named = encoding.lower() if encoding and encoding.lower() != "auto" else None
     named = ENCODING_NAMES.get(named, named) if named else None
-    found = {r.path: (named or r.encoding, r.multi_line) for r in encodings(spark, path).collect()}
-    wide = [file for file, (charset, _) in found.items() if charset.startswith("utf-16")]
-    delimiters = {r.path: r.delimiter for r in _delimiters(_lines(spark, path)).collect()} if len(wide) < len(found) else {}
-    for charset in {found[file][0] for file in wide}:
-        own = _delimiters(_lines(spark, [unquote(file) for file in wide], SPARK_CHARSETS.get(charset, charset)))
+    split = _split_bytes(spark)
+    found = {r.path: r for r in detect(spark, path).collect()}  # a row for each file
+    charsets = {file: named or r.encoding for file, r in found.items()}
+    wide = [file for file, charset in charsets.items() if charset.startswith("utf-16")]
+    delimiters = {file: r.delimiter for file, r in found.items()}
+    for charset in {charsets[file] for file in wide}:
+        own = _wide_delimiters(spark, [unquote(file) for file in wide if charsets[file] == charset], SPARK_CHARSETS.get(charset, charset))
         delimiters |= {r.path: r.delimiter for r in own.collect()}
     groups: dict[CsvLayout, list[str]] = {}
-    for file, (charset, multi_line) in sorted(found.items()):
-        how = CsvLayout(charset, delimiters.get(file, ","), bool(multi_line) or file in wide)
+    for file, r in sorted(found.items()):
+        many = bool(r.multi_line) and file not in wide
+        how = CsvLayout(charsets[file], delimiters[file], many or file in wide, many and r["size"] > split)
         groups.setdefault(how, []).append(unquote(file))
     return groups
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """The size of a split as Spark's setting names it."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
+
+
 def layout(spark: SparkSession, path: str, encoding: str | None = None) -> CsvLayout:
     """How to read one file or one folder of like files; of files that differ, the first's (see :func:`layouts`)."""
     return next(iter(layouts(spark, path, encoding)), CsvLayout(encoding or "utf-8", ",", False))
@@ -243,8 +154,9 @@ def read_csv(
     known: CsvLayout | None = None,
 ) -> DataFrame:
     """A CSV file or folder as a DataFrame. Files of one layout are read together, those of several put together by column name.
-    For large sources pass ``schema`` and the ``known`` layout, which saves the pass that infers types and those that look at
-    every line."""
+    For large sources pass ``schema`` and the ``known`` layout, which saves the pass that infers types and the one that looks at
+    every line. Files with line breaks in quotes that are larger than a split are cut into records by all tasks and kept as
+    Parquet in the shared folder (see :mod:`plumbline.sources.records`); UTF-16 files are read by one task each."""
     groups = {known: [path]} if known else layouts(spark, path, encoding)
     if len(groups) < 2:
         how = next(iter(groups), CsvLayout("utf-8", ",", False))
@@ -259,6 +171,8 @@ def read_csv(
 
 
 def _read(spark: SparkSession, how: CsvLayout, paths: list[str], schema: object, header: bool) -> DataFrame:
+    if how.large:
+        return land_records(spark, paths, how.delimiter, how.encoding, schema, header)
     reader = (
         spark.read.option("header", header)
         .option("sep", how.delimiter)

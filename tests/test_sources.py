@@ -127,29 +127,58 @@ def test_files_of_a_folder_are_detected_one_by_one(spark, tmp_path):
     assert csv.read_csv(spark, str(single)).count() == 31 and csv.layout(spark, str(single)).delimiter == ";"
 
 
-def test_files_of_a_folder_are_detected_one_by_one(spark, tmp_path):
-    late = "x;y\n" + "".join(f"{i};v\n" for i in range(30))
-    (tmp_path / "part-0.csv").write_bytes("k,name,note\n1,é,\"a;b\"\n2,ü,c\n".encode())
-    (tmp_path / "part-1 b.csv").write_bytes("k;note;name\n3;d;ö\nx4;e;ä\n".encode())
-    (tmp_path / "part-2.csv").write_bytes("k|name|note\n05|ß|f\n".encode("latin-1"))
-    (tmp_path / "part-3.csv").write_bytes("k\tname\tnote\n6\t粀,|\tg\n".encode("utf-16"))
-    rows = {(r.k, r.name, r.note) for r in csv.read_csv(spark, str(tmp_path)).collect()}
-    assert rows == {("1", "é", "a;b"), ("2", "ü", "c"), ("3", "ö", "d"), ("x4", "ä", "e"), ("05", "ß", "f"), ("6", "粀,|", "g")}
-    single = tmp_path / "one"
-    single.mkdir()
-    (single / "late.csv").write_text(late + "31;a,b\n")
-    assert csv.read_csv(spark, str(single)).count() == 31 and csv.layout(spark, str(single)).delimiter == ";"
+def _awkward_csv(rows: int) -> str:
+    odd = ['plain', '"a, b"', '"line\nbreak"', '"say ""hi"""', '""', '5" disk', '"two\r\nbreaks\n\nhere"', 'x "y" z', '"q""\n"", r"', '"ends"tail', '']
+    lines = ['k,"name\nof it",note']
+    for i in range(rows):
+        lines.append(f"{i},{odd[i % len(odd)]},{odd[(i * 7 + 3) % len(odd)]}")
+    return "\n".join(lines) + "\n"
 
 
-def test_files_of_a_folder_are_detected_one_by_one(spark, tmp_path):
-    late = "x;y\n" + "".join(f"{i};v\n" for i in range(30))
-    (tmp_path / "part-0.csv").write_bytes("k,name,note\n1,é,\"a;b\"\n2,ü,c\n".encode())
-    (tmp_path / "part-1 b.csv").write_bytes("k;note;name\n3;d;ö\nx4;e;ä\n".encode())
-    (tmp_path / "part-2.csv").write_bytes("k|name|note\n05|ß|f\n".encode("latin-1"))
-    (tmp_path / "part-3.csv").write_bytes("k\tname\tnote\n6\t粀,|\tg\n".encode("utf-16"))
-    rows = {(r.k, r.name, r.note) for r in csv.read_csv(spark, str(tmp_path)).collect()}
-    assert rows == {("1", "é", "a;b"), ("2", "ü", "c"), ("3", "ö", "d"), ("x4", "ä", "e"), ("05", "ß", "f"), ("6", "粀,|", "g")}
-    single = tmp_path / "one"
-    single.mkdir()
-    (single / "late.csv").write_text(late + "31;a,b\n")
-    assert csv.read_csv(spark, str(single)).count() == 31 and csv.layout(spark, str(single)).delimiter == ";"
+@pytest.mark.parametrize("split, encoding", [(60, "utf-8"), (150, "latin-1")])
+def test_quoted_breaks_are_read_by_many_tasks_like_one(spark, tmp_path, split, encoding):
+    path = tmp_path / "f.csv"
+    path.write_bytes(_awkward_csv(40).replace("plain", "pläïn").encode(encoding))
+    whole = csv.read_csv(spark, str(path), known=csv.CsvLayout(encoding, ",", True))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        found = csv.layouts(spark, str(path))
+        assert [how.large for how in found] == [True] and next(iter(found)).encoding == encoding
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 3  # its lines are read by many tasks
+        parts = csv.read_csv(spark, str(path))
+        assert parts.schema == whole.schema
+        rows = sorted(map(tuple, parts.collect()), key=repr)
+        schema = "k string, name string, note string"
+        given = csv.read_csv(spark, str(path), schema=schema).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == sorted(map(tuple, whole.collect()), key=repr)
+    assert given == whole.count()
+
+
+def test_line_functions_compose():
+    import itertools
+
+    import numpy as np
+
+    from plumbline.sources import records
+
+    kinds = [(False, False), (True, True), (False, True), (True, False)]
+    for lines in itertools.product(kinds, repeat=4):
+        outside, inside = (np.array([k[i] for k in lines]) for i in (0, 1))
+        for begins in (False, True):
+            state, states = begins, []
+            for from_outside, from_inside in lines:
+                states.append(state)
+                state = from_inside if state else from_outside
+            assert records.states_before(begins, outside, inside).tolist() == states
+            assert records.composed(outside, inside)[begins] == state
+
+
+def test_types_of_cut_records(spark):
+    from plumbline.sources import records
+
+    rows = [("1", "1", "1.5", "2024-01-05", "2024-01-05 10:00:00", "true", None, "x"), ("-7", "3000000000", "2", "2024-02-05", "2024-01-05T10:00:00Z", "False", None, "1")]
+    texts = spark.createDataFrame(rows, "a string, `b.c` string, d string, e string, f string, g string, h string, i string")
+    assert [f.dataType.simpleString() for f in records.typed(texts).schema] == ["int", "bigint", "double", "date", "timestamp", "boolean", "string", "string"]
