@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
-from plumbline.llm.common import lower_ascii, read, text_of
+from plumbline.llm.common import ASCII_LOWER, ASCII_UPPER, lower_ascii, read, text_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of each hashed gram; how far diagonals may lie apart to be one span; share of a template's grams that a span must hold.
@@ -189,24 +189,54 @@ def op9_licence_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    templates = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, string_split('{t.words}', ' '))" for i, t in enumerate(TEMPLATES))
+    listed = ", ".join(
+        f"({i}, '{t.label}', {str(t.base).lower()}, string_split('{t.words}', ' '), {'NULL' if t.version is None else t.version}::INT)" for i, t in enumerate(TEMPLATES)
+    )
+    phrases = []
+    for i, t in enumerate(TEMPLATES):
+        for k, phrase in enumerate(t.telling):
+            words, wanted = t.words.split(" "), phrase.split(" ")
+            at = next(a for a in range(len(words)) if words[a : a + len(wanted)] == wanted)
+            phrases.append(f"({i}, {k}, {at}, {at + len(wanted) - GRAM})")
     return rf"""
-WITH templates(template, label, base, tw) AS (VALUES {templates}),
-docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH templates(template, label, base, tw, version) AS (VALUES {listed}),
+telling(template, phrase, from_place, to_place) AS (VALUES {", ".join(phrases)}),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 tgrams AS (SELECT template, place, tw[place + 1] AS a, tw[place + 2] AS b FROM templates, LATERAL unnest(range(len(tw) - 1)) AS u(place)),
-dgrams AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM docs, LATERAL unnest(range(len(w) - 1)) AS u(pos)),
-diagonals AS (SELECT doc_id, template, pos - place AS diagonal, count(*) AS votes, min(place) AS low, max(place) AS high FROM dgrams JOIN tgrams USING (a, b) GROUP BY ALL),
-marked AS (SELECT d.*, t.base, t.label, len(tw) AS length,
+dgrams AS (SELECT doc_id, pos, w[pos + 1] AS a, w[pos + 2] AS b, coalesce(w[pos + 3], '') AS next FROM docs, LATERAL unnest(range(len(w) - 1)) AS u(pos)),
+matches AS (SELECT doc_id, template, pos, place, next, pos - place AS diagonal FROM dgrams JOIN tgrams USING (a, b)),
+diagonals AS (SELECT doc_id, template, diagonal, count(*) AS votes, min(place) AS low, max(place) AS high FROM matches GROUP BY ALL),
+marked AS (SELECT d.*, t.base, len(tw) AS length,
   CASE WHEN base OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {NEIGHBOURS} THEN 1 ELSE 0 END AS apart
   FROM diagonals d JOIN templates t USING (template) WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM marked),
-merged AS (SELECT doc_id, template, base, label, length, span, sum(votes) AS votes, max(votes) AS most, min(diagonal + low) AS first_at, max(diagonal + high + 1) AS last_at
+merged AS (SELECT doc_id, template, base, length, span, sum(votes) AS votes, max(votes) AS most, min(diagonal + low) AS first_at, max(diagonal + high + 1) AS last_at
   FROM numbered GROUP BY ALL),
-found AS (SELECT *, least(votes / (length - 1), 1.0) AS cover FROM merged
-  WHERE CASE WHEN base THEN most = length - 1 ELSE votes / (length - 1) >= {COVERAGE} AND last_at - first_at < length + {NEIGHBOURS * 4} END),
-per_doc AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(first_at) FILTER (WHERE base) AS first_word, max(first_at) FILTER (WHERE base) AS last_word,
-  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels,
-  round(max(cover), 6) AS score FROM found GROUP BY doc_id)
+voted AS (SELECT * FROM merged WHERE NOT base AND votes / (length - 1) >= {COVERAGE} AND last_at - first_at < length + {NEIGHBOURS * 4}),
+own AS (SELECT doc_id, template, span, pos, place, next, diagonal FROM voted JOIN numbered n USING (doc_id, template, span) JOIN matches m USING (doc_id, template, diagonal)),
+said AS (SELECT doc_id, template, span, phrase FROM own JOIN telling USING (template) WHERE place BETWEEN from_place AND to_place
+  GROUP BY doc_id, template, span, phrase, diagonal, from_place, to_place HAVING count(DISTINCT place) = to_place - from_place + 1),
+told AS (SELECT v.doc_id, v.template, v.span FROM voted v JOIN templates t USING (template)
+  WHERE (SELECT count(DISTINCT phrase) FROM said s WHERE s.doc_id = v.doc_id AND s.template = v.template AND s.span = v.span) = (SELECT count(*) FROM telling l WHERE l.template = v.template)
+    AND (version IS NULL
+      OR EXISTS (SELECT 1 FROM own o WHERE o.doc_id = v.doc_id AND o.template = v.template AND o.span = v.span AND place = version - 1 AND (NOT regexp_full_match(next, '[0-9]+') OR next = '0'))
+      OR version < len(tw) - 1 AND EXISTS (SELECT 1 FROM own o WHERE o.doc_id = v.doc_id AND o.template = v.template AND o.span = v.span AND place = version))),
+ordered AS (SELECT doc_id, template, span, list({{'at': pos, 'place': place}} ORDER BY pos, place DESC) AS steps FROM own JOIN told USING (doc_id, template, span) GROUP BY ALL),
+chains AS (SELECT doc_id, template, span, list_max(list_reduce(steps, lambda best, m: list_transform(best, lambda old, i:
+    CASE WHEN i = m.place + 1 AND coalesce(list_max(best[: m.place]).n, 0) + 1 > old.n
+    THEN {{'n': coalesce(list_max(best[: m.place]).n, 0) + 1, 'first': coalesce(list_max(best[: m.place]).first, m.at), 'last': m.at + 1}} ELSE old END),
+    list_transform(range(20), lambda k: {{'n': 0::BIGINT, 'first': NULL::BIGINT, 'last': NULL::BIGINT}}))) AS chain FROM ordered),
+rivals AS (SELECT doc_id, template, chain.n AS n, chain.n / (len(tw) - 1) AS cover, chain.first AS first, chain.last AS last FROM chains JOIN templates USING (template)
+  WHERE chain.n / (len(tw) - 1) >= {COVERAGE}),
+chosen AS (SELECT doc_id, unnest(list_reduce(list({{'template': template, 'first': first, 'last': last, 'cover': cover}} ORDER BY n DESC, cover DESC, template, first, last),
+    lambda kept, s: CASE WHEN len(list_filter(kept, lambda k: k.first <= s.last AND s.first <= k.last)) > 0 THEN kept ELSE kept || [s] END,
+    [{{'template': 0, 'first': 0::BIGINT, 'last': 0::BIGINT, 'cover': 0::DOUBLE}}][:0])) AS s FROM rivals GROUP BY doc_id),
+found AS (
+  SELECT doc_id, template, TRUE AS base, first_at, 1.0::DOUBLE AS cover FROM merged WHERE base AND most = length - 1
+  UNION ALL SELECT doc_id, s.template, FALSE, s.first, s.cover FROM chosen),
+per_doc AS (SELECT doc_id, count(*) FILTER (WHERE f.base) AS n_base, min(first_at) FILTER (WHERE f.base) AS first_word, max(first_at) FILTER (WHERE f.base) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE f.base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels,
+  round(max(cover), 6) AS score FROM found f JOIN templates USING (template) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
   coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM docs LEFT JOIN per_doc USING (doc_id)
