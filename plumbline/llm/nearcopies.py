@@ -31,7 +31,7 @@ CROWD, FINER_BANDS, FINER, LEVELS = 4_000, 26, 3, 3
 LOOK_BITS = 4_096
 MOST_DIFFERENT = int(LOOK_BITS / 8 + 5 * (LOOK_BITS * 7 / 64) ** 0.5) + 1
 #: Identifiers of candidates are broadcast up to this number (16 MB); beyond it, texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 ROWS_AT_ONCE = 500
 _made = np.random.default_rng(3)
 MULTIPLIERS = _made.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,8 +149,12 @@ def _sketch_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = []
             for text in part["text"]:
                 s = shingles(text)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest(), sketch(s).tobytes()) if len(s) else (0, None, None))
-            yield pd.DataFrame(out, columns=["n", "set_key", "registers"]).assign(id=part["id"].to_numpy())[["id", "n", "set_key", "registers"]]
+                out.append((len(s), set_key(s), sketch(s).tobytes()) if len(s) else (0, None, None))
+            yield pd.DataFrame(out, columns=["n", "set_key", "registers"]).assign(id=part["id"].to_numpy(), own=part["own"].to_numpy())[["id", "own", "n", "set_key", "registers"]]
+
+
+def set_key(elements: np.ndarray) -> str:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).hexdigest()
 
 
 def _registers(column: pd.Series) -> np.ndarray:
@@ -182,7 +186,7 @@ def _full_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), ROWS_AT_ONCE):
             part = batch.iloc[at : at + ROWS_AT_ONCE]
-            yield pd.DataFrame({"class": part["id"], "elements": [shingles(t).tobytes() for t in part["text"]]})
+            yield pd.DataFrame({"class": part["class"], "elements": [shingles(t).tobytes() for t in part["text"]]})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,8 +212,8 @@ class _Search:
 
     def read_sets(self, wanted: DataFrame) -> None:
         """Compute the full sets of the classes that share a bucket with another, once for all rounds."""
-        wanted = cut_lineage(wanted.select("class").distinct())
-        texts = self.documents.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, F.col("id") == F.col("class"), "left_semi")
+        wanted = cut_lineage(wanted.select("class").distinct().join(self.classes.select("class", F.col("least").alias("id"), "own"), "class"))
+        texts = self.documents.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["id", "own"]).select("class", "text")
         self.sets = cut_lineage(texts.mapInPandas(_full_sets, "class bigint, elements binary").dropDuplicates(["class"]))
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -231,14 +235,20 @@ def near_copies(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     So a group of thousands of copies costs a comparison each, not one for each two of them; no bucket is cut.
 
     Links are confirmed on full sets of 64-bit shingle hashes. Null and empty texts have no shingles and are linked with nothing,
-    nor are rows without identifier. Repeated rows are in one component; an empty table gives no rows. Identifiers are integers.
+    nor are rows without identifier. Repeated rows are in one component; rows with one identifier and different texts are compared
+    each by its own text. There is a row for each row of the input; an empty table gives none. Identifiers are integers. Only the
+    two named columns are read, so other names cannot clash.
+
+    A class has a number of its own. Its text is found again by the smallest identifier and the hash of that row's text.
     """
-    rows = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = cut_lineage(rows.mapInPandas(_sketch_rows, "id bigint, n bigint, set_key string, registers binary"))
+    rows = documents.select(F.col(id).cast("long").alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("own"), F.col(text).alias("text"))
+    sketched = cut_lineage(rows.mapInPandas(_sketch_rows, "id bigint, own string, n bigint, set_key string, registers binary"))
     found = sketched.filter("set_key IS NOT NULL AND id IS NOT NULL")
-    classes = cut_lineage(
-        found.groupBy("set_key").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    grouped = found.groupBy("set_key").agg(
+        F.min(F.struct("id", "own")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("registers").alias("registers")
     )
+    numbered = F.monotonically_increasing_id().alias("class")
+    classes = cut_lineage(grouped.select("set_key", numbered, F.col("first.id").alias("least"), F.col("first.own").alias("own"), "copies", "n", "registers"))
     placed = classes.select("class", "registers").mapInPandas(_place, "class bigint, bucket bigint")
     buckets = cut_lineage(placed.groupBy("bucket").agg(F.min("class").alias("least"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     met = buckets.agg(F.sum("members")).first()[0] or 0
@@ -253,7 +263,11 @@ def near_copies(documents: DataFrame, id: str = "doc_id", text: str = "text") ->
     pairs = _pairs_apart(apart, classes, search.sets).join(first, ["a", "b"], "left_anti")
     more = search.confirmed(pairs)
     final = cut_lineage(components(classes.select(F.col("class").alias("node")), links.union(more)))
-    named = cut_lineage(classes.select("set_key", "class", "copies").join(final, F.col("class") == F.col("node")).select("set_key", "copies", "component"))
+    of_class = cut_lineage(classes.select("set_key", "class", "copies", "least").join(final, F.col("class") == F.col("node")).select("set_key", "copies", "least", "component"))
+    lowest = cut_lineage(of_class.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+    linked = lowest.agg(F.sum("classes")).first()[0] or 0
+    named = join_counted(of_class, lowest, ["component"], "classes", linked)
+    named = cut_lineage(named.select("set_key", "copies", F.coalesce("smallest", "least").alias("component")))
     total = named.agg(F.sum("copies")).first()[0] or 0
     asked = sketched.select("id", "n", F.when(F.col("id").isNull() | F.col("set_key").isNull(), F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))).otherwise(F.col("set_key")).alias("set_key"))
     known = join_counted(asked, named, ["set_key"], "copies", total)

@@ -19,6 +19,8 @@ BANDS, BAND_BITS = 80, 16
 #: Rotations whose codes estimate a pair, and standard errors by which an estimate may fall short before a pair is given up.
 ESTIMATING, SIGMAS = 4, 5.0
 SEED = 20
+#: Vectors of a bucket that one task compares with each other; larger buckets are cut into blocks.
+BLOCK = 2_000
 
 
 @lru_cache(maxsize=8)
@@ -29,10 +31,15 @@ def rotations(size: int) -> np.ndarray:
     return np.stack([np.linalg.qr(made.standard_normal((size, size)))[0] for _ in range(many)])
 
 
-def unit(vectors: list) -> np.ndarray:
-    """Rows of length one. Scaled by their largest component first, so no square gets lost or overflows."""
+def scaled(vectors: list) -> np.ndarray:
+    """Rows divided by a power of two near their largest component, so no square gets lost or overflows and no bit changes."""
     x = np.array([np.asarray(v, np.float64) for v in vectors])
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(vectors: list) -> np.ndarray:
+    """Rows of length one."""
+    x = scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -80,44 +87,66 @@ def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, same in batch.groupby(batch["vector"].map(len), sort=True):
             for at in range(0, len(same), 1024):
                 part = same.iloc[at : at + 1024]
-                x, y = (np.array([np.asarray(v, np.float64) for v in part[c]]) for c in ("vector", "other"))
+                x, y = (scaled(list(part[c])) for c in ("vector", "other"))
                 cosine = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
                 yield part[cosine >= THRESHOLD][["a", "b"]]
 
 
+def pairs_of_buckets(placed: DataFrame) -> DataFrame:
+    """The pairs (a < b) of classes that share a bucket, each once; ``placed`` is (class, label, size, bucket).
+
+    A bucket of more than BLOCK classes is cut into blocks, and each two blocks are one key, so a crowded bucket is compared by
+    many tasks. Classes alone in their bucket go no further.
+    """
+    keys = ["label", "size", "bucket"]
+    placed = cut_lineage(placed)
+    buckets = cut_lineage(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
+    total = buckets.agg(F.sum("members")).first()[0] or 0
+    together = join_counted(placed, buckets, keys, "members", total).filter("members IS NOT NULL")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    own = together.withColumn("block", F.pmod(F.xxhash64("class"), blocks)).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = own.select(*keys, "class", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    a = dealt.withColumnsRenamed({"class": "a", "block": "block_a"})
+    b = dealt.withColumnsRenamed({"class": "b", "block": "block_b"})
+    apart = (F.col("low") == F.col("high")) | (F.col("block_a") != F.col("block_b"))
+    return a.join(b, [*keys, "low", "high"]).filter((F.col("a") < F.col("b")) & apart).select("a", "b").distinct()
+
+
 def near_vectors(embeddings: DataFrame, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(id, n_links, component_id, kept) of each row: how many other vectors it is linked with, and the group it is in.
 
     Vectors of one label (not null) and one length are linked from cosine 0.93. Null and empty vectors, zero vectors, vectors
     with a null or non-finite component, and rows without identifier are linked with nothing. Equal vectors of a label form a
     class, which is compared once and counts with all its rows, so thousands of copies make no pairs among themselves. Rows
-    are matched to classes by 128 bits of their contents. Repeated rows are vectors of their own; an empty table gives none.
+    are matched to classes by 128 bits of their contents, and classes have numbers of their own, so rows with one identifier and
+    different contents stay apart. Repeated rows are vectors of their own; there is a row for each row of the input, and an empty
+    table gives none. Only the three named columns are read, so other names cannot clash.
     """
     number = F.col("vector")
     rows = embeddings.select(F.col(id).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.forall(number, finite) & F.exists(number, lambda x: x != 0)
     keyed = rows.withColumn("key", F.when(F.coalesce(usable, F.lit(False)), F.md5(F.concat_ws("|", F.col("label").cast("string"), number.cast("string")))))
-    classes = cut_lineage(
-        keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    )
+    grouped = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    classes = cut_lineage(grouped.withColumn("class", F.monotonically_increasing_id()))
     kind = classes.schema["label"].dataType.simpleString()
-    ids = classes.schema["class"].dataType.simpleString()
-    coded = cut_lineage(classes.select("class", "label", "vector").mapInPandas(encode, f"class {ids}, label {kind}, size int, buckets array<bigint>, code binary, factors array<double>"))
+    coded = cut_lineage(classes.select("class", "label", "vector").mapInPandas(encode, f"class long, label {kind}, size int, buckets array<bigint>, code binary, factors array<double>"))
     placed = coded.select("class", "label", "size", F.explode("buckets").alias("bucket"))
-    own, other = placed.withColumnRenamed("class", "a"), placed.withColumnRenamed("class", "b")
-    pairs = own.join(other, ["label", "size", "bucket"]).filter("a < b").select("a", "b").distinct()
+    pairs = pairs_of_buckets(placed)
     vectors = classes.select("class", "vector")
     first = pairs.join(vectors.withColumnRenamed("class", "a"), "a").join(coded.select(F.col("class").alias("b"), "code", "factors"), "b")
-    likely = first.mapInPandas(estimate, f"a {ids}, b {ids}, vector array<double>")
+    likely = first.mapInPandas(estimate, "a long, b long, vector array<double>")
     both = likely.join(vectors.select(F.col("class").alias("b"), F.col("vector").alias("other")), "b")
-    links = cut_lineage(both.mapInPandas(confirm, f"a {ids}, b {ids}"))
+    links = cut_lineage(both.mapInPandas(confirm, "a long, b long"))
     sizes = classes.select("class", "n")
     ways = links.union(links.select("b", "a"))
     beside = ways.join(sizes.withColumnRenamed("class", "b"), "b").groupBy("a").agg(F.sum("n").alias("beside"))
-    grouped = components(classes.select(F.col("class").alias("node")), links)
-    known = classes.select("key", "class", "n").join(beside, F.col("class") == F.col("a"), "left").join(grouped, F.col("class") == F.col("node"), "left")
-    table = cut_lineage(known.select("key", "n", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"), "component"))
+    linked = components(classes.select(F.col("class").alias("node")), links)
+    known = classes.select("key", "class", "n", "least").join(beside, F.col("class") == F.col("a"), "left").join(linked, F.col("class") == F.col("node"))
+    known = cut_lineage(known.select("key", "n", "least", (F.col("n") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links"), "component"))
+    lowest = cut_lineage(known.groupBy("component").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("classes")).filter("classes > 1"))
+    named = join_counted(known, lowest, ["component"], "classes", lowest.agg(F.sum("classes")).first()[0] or 0)
+    table = cut_lineage(named.select("key", "n", "n_links", F.coalesce("smallest", "least").alias("component")))
     total = table.agg(F.sum("n")).first()[0] or 0
     # rows without a key never meet a class, and are spread by their own contents
     asked = keyed.select("id", F.coalesce("key", F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key"))

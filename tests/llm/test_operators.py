@@ -312,6 +312,23 @@ def test_vectors_against_brute_force(spark):
     assert vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_repeated_identifiers_of_different_contents(spark, monkeypatch):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    other = "some other words that have nothing in common with those of the first text at all"
+    rows = [(7, text), (7, other), (8, other), (9, text), (9, "third " + other), (7, text), (None, text)]
+    found = nearcopies.near_copies(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id) == [(7, 7)] * 3 + [(8, 7), (9, 7), (9, 7)] and len(found) == len(rows)
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.1, 1.0]
+    vecs = [(7, x), (7, y), (8, y), (9, x), (10, z), (7, x), (11, [1e200, 1e200, 0.0]), (12, [1e200, 1.001e200, 0.0]), (13, [1e-200, 1e-200, 0.0])]
+    frame = spark.createDataFrame([(*v, 0, "k") for v in vecs], "vec_id long, embedding array<double>, label int, class string")
+    expected = [(7, 1), (7, 2), (7, 2), (8, 1), (9, 2), (10, 0), (11, 2), (12, 2), (13, 2)]
+    for block in (vectors.BLOCK, 1):
+        monkeypatch.setattr(vectors, "BLOCK", block)
+        rows = vectors.near_vectors(frame).collect()
+        assert sorted((r.vec_id, r.n_links) for r in rows) == expected
+        assert sorted({(r.vec_id, r.component_id) for r in rows}) == [(7, 7), (8, 7), (9, 7), (10, 10), (11, 11), (12, 11), (13, 11)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<html>" + "é" * 2000
     rows = [(1, "http://b.example.org/x y", big), (2, "http://a.example.org/", big), (3, None, None), (4, "http://a.example.org/", "s"), (5, "http://c.org/", "s"), (6, "http://a.example.org/#f", ""), (6, "http://a.example.org/#f", "")]
