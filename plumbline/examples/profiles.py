@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.examples.registry import folder, registered, rule, table
 from plumbline.operators import privacy
-from plumbline.operators.profile import completeness, metadata_only, profile, snapshots_by, source_key
+from plumbline.operators.profile import completeness, metadata_only, privacy_review, profile, snapshots_by, source_key
 from plumbline.operators.report import report_tables
 from plumbline.operators.suggest import suggestions
 from plumbline.plans.runner import Planner
@@ -118,7 +118,7 @@ DISTINCT = {
 def profile_distinct(spark: SparkSession, path: str) -> DataFrame:
     frames = []
     for name in DISTINCT:
-        found = profile(table(spark, path, name)).columns_frame()
+        found = profile(table(spark, path, name), quartiles=False).columns_frame()
         frames.append(found.select(F.lit(name).alias("source"), "column", "distinct_count"))
     return _union(frames)
 
@@ -287,15 +287,24 @@ def source_keys(spark: SparkSession, path: str) -> DataFrame:
 
 
 @registered(
-    "SELECT 'row_count' AS part, count(*)::VARCHAR AS json FROM nation UNION ALL SELECT 'source', '\"nation\"' UNION ALL "
-    "SELECT 'columns', '[{\"column\":\"n_name\",\"type\":\"string\",\"inferred_type\":\"text\",\"null_rate\":0.0,\"distinct_count\":' || count(DISTINCT n_name) "
-    "|| '},{\"column\":\"n_regionkey\",\"type\":\"int\",\"inferred_type\":\"number\",\"null_rate\":0.0,\"distinct_count\":' || count(DISTINCT n_regionkey) "
-    "|| ',\"min\":\"' || min(n_regionkey) || '\",\"max\":\"' || max(n_regionkey) || '\",\"mean\":' || avg(n_regionkey) || '}]' FROM nation UNION ALL "
-    "SELECT 'findings', '[]' UNION ALL SELECT 'privacy_flags', '[]'"
+    "WITH c AS (SELECT count(*) AS n, count(DISTINCT doc_id) AS di, min(doc_id) AS a, max(doc_id) AS b, avg(doc_id) AS m, count(DISTINCT text) AS dt, count(DISTINCT lang) AS dl, "
+    "count(DISTINCT source) AS ds, count(DISTINCT n_chars) AS dn, min(n_chars) AS e, max(n_chars) AS f, avg(n_chars) AS g FROM documents) "
+    "SELECT t.* FROM c, LATERAL (VALUES ('row_count', n::VARCHAR), ('source', '\"documents\"'), "
+    "('doc_id', 'number|bigint|' || di || '|' || a || '|' || b || '|' || round(m, 3)), ('text', 'text|string|' || dt), "
+    "('lang', CASE WHEN dl <= 10 THEN 'category' ELSE 'text' END || '|string|' || dl), ('source name', CASE WHEN ds <= 10 THEN 'category' ELSE 'text' END || '|string|' || ds), "
+    "('n_chars', 'number|bigint|' || dn || '|' || e || '|' || f || '|' || round(g, 3))) AS t(part, content)"
 )
 def profile_metadata_only(spark: SparkSession, path: str) -> DataFrame:
-    found = profile(table(spark, path, "nation").select("n_name", "n_regionkey"))
-    return metadata_only(found.columns_frame(), found.findings_frame(), found.privacy_frame(), "nation", found.row_count)
+    """What is handed on about the documents: the listed figures of each column, and no text of any of them."""
+    found = profile(table(spark, path, "documents"), quartiles=False)
+    exported = metadata_only(found.columns_frame(), found.findings_frame(), found.privacy_frame(), "documents", found.row_count)
+    listed = exported.filter("part = 'columns'").select(
+        F.inline(F.from_json("json", "array<struct<column:string,type:string,inferred_type:string,distinct_count:bigint,min:string,max:string,mean:double>>"))
+    )
+    mean = F.round("mean", 3).cast("string")
+    content = F.concat_ws("|", "inferred_type", "type", "distinct_count", "min", "max", mean)
+    name = F.when(F.col("column") == "source", "source name").otherwise(F.col("column"))
+    return exported.filter("part IN ('row_count', 'source')").select("part", F.col("json").alias("content")).unionByName(listed.select(name.alias("part"), content.alias("content")))
 
 
 WORDS = r"SELECT DISTINCT word FROM (SELECT unnest(string_split_regex(text, '\s+')) AS word FROM documents) WHERE word <> ''"
@@ -332,7 +341,7 @@ ORDER_IDENTIFIERS = (
     r"SELECT 'host', 'Personal data: IP address', 'medium', count(*) FROM orders WHERE o_orderstatus = 'F'"
 )
 def privacy_values(spark: SparkSession, path: str) -> DataFrame:
-    frames = [profile(sql_source(spark, path, sql)).privacy_frame() for sql in (WORD_SOURCE, ORDER_IDENTIFIERS)]
+    frames = [privacy_review(sql_source(spark, path, sql)) for sql in (WORD_SOURCE, ORDER_IDENTIFIERS)]
     found = _union(frames).filter("observed IS NOT NULL")
     return found.select(F.col("column").alias("column_name"), "category", "severity", "observed")
 
@@ -367,7 +376,7 @@ FROM customer"""
     "('date_validity', 'since', 'since must be a valid date', '{\"column\":\"since\"}')) AS t(rule_type, \"column\", name, config)"
 )
 def suggest_rules(spark: SparkSession, path: str) -> DataFrame:
-    found = profile(sql_source(spark, path, SUGGEST_SOURCE))
+    found = profile(sql_source(spark, path, SUGGEST_SOURCE), quartiles=False)
     return suggestions(found.columns_frame(), F.lit(found.row_count))
 
 

@@ -1,13 +1,14 @@
-"""Column profiles: three passes over a table however many columns it has.
+"""Column profiles: a few passes over a table however many columns it has.
 
 1. *Base statistics*: one aggregate per group of like columns, each reading only its own columns, without a shuffle
    beyond one row per task.
 2. *Distinct counts*: columns unpivoted to (column, value) and counted in two levels, so map tasks combine repeated
    values first. Long text is represented by its hash.
-3. *Details*: value frequencies of low-cardinality text, example values of odd entries and outlier counts. Which
+3. *Quartiles*: bounds come with pass 1; one pass counts at them and one picks the values in between, for all columns at once.
+4. *Details*: value frequencies of low-cardinality text, example values of odd entries and outlier counts. Which
    columns need these is known by then, so the query reads only those.
 
-Passes 1 and 2 run side by side and return one value per statistic and column, which is all that reaches the driver.
+Passes 1 and 2 run side by side. One value per statistic and column, and the bounded details, are all that reaches the driver.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ EXAMPLE_CHARS = 30
 PLACEHOLDERS = ("***", "N/A", "NA", "NONE", "NULL", "UNKNOWN", "UNSPECIFIED", "-")
 
 QUARTILE_ACCURACY = 10_000
-QUARTILE_VALUES = 20_000  # rows between two bounds that are counted value by value
+QUARTILE_VALUES = 4_000_000  # rows between two bounds that one task puts in order
 EXPRESSIONS_PER_SCAN = 96  # keeps each generated aggregate below Spark's field limit for code generation
 
 COLUMN_PROFILE = (
@@ -143,52 +144,94 @@ def _quartiles(c: Column) -> dict[str, Column]:
 def exact_quartiles(df: DataFrame, around: dict[str, Sequence[float]]) -> dict[str, tuple[float, float]]:
     """The values at ranks n/4 and 3n/4 (rounded up) of each column, given values that surround them.
 
-    Each pass counts what lies below and between. While too much lies between, the same question is put to those rows, with the
-    rank counted from there; then the few values left are counted one by one. Ties at a bound stay inside.
+    All columns and both quartiles are searched for side by side. One pass counts what lies below and at each bound: the ranks
+    then say which bound is the answer (so ties are settled here), or between which two values it lies. A second pass counts the
+    few values in between one by one and picks the one at the rank, in Spark. Only where more than QUARTILE_VALUES rows lie
+    in between (beyond about 10^10 rows) are the bounds narrowed first, all at once, by values that lie strictly inside, so every
+    round ends. The driver gets counts and bounds, one row for a column at a time. NaN counts as larger than infinity.
     """
-    wanted = {(name, q): (bounds[2 * q], bounds[2 * q + 1]) for name, bounds in around.items() for q in (0, 1)}
+    open_ends = {(name, q): (bounds[2 * q], bounds[2 * q + 1]) for name, bounds in around.items() for q in (0, 1)}
     found: dict[tuple[str, int], float] = {}
-    while wanted:
-        parts = {key: F.col(quoted(key[0])).cast("double") for key in wanted}
-        counts = [
-            column
-            for i, (key, (low, high)) in enumerate(wanted.items())
-            for column in (
-                F.count(parts[key]).alias(f"n{i}"), F.count_if(parts[key] < low).alias(f"below{i}"), F.count_if(parts[key].between(low, high)).alias(f"inside{i}"),
-            )
-        ]
-        row = df.agg(*counts).first()
-        ranks = {key: -(-row[f"n{i}"] * (1, 3)[key[1]] // 4) - row[f"below{i}"] for i, key in enumerate(wanted)}
-        wide = {key: row[f"inside{i}"] for i, key in enumerate(wanted) if row[f"inside{i}"] > QUARTILE_VALUES and wanted[key][0] < wanted[key][1]}
-        few = [key for key in wanted if key not in wide]
-        if few:
-            structs = [
-                F.when(parts[key].between(*wanted[key]), F.struct(F.lit(i).alias("i"), parts[key].alias("value"))) for i, key in enumerate(few)
-            ]
-            rows = df.select(F.explode(F.array_compact(F.array(*structs))).alias("e")).groupBy("e.i", "e.value").count().collect()
-            for i, key in enumerate(few):
-                before = 0
-                for value, n in sorted((r["value"], r["count"]) for r in rows if r["i"] == i):
-                    before += n
-                    if before >= ranks[key]:
-                        found[key] = value
-                        break
-        narrower = {}
-        for key, inside in wide.items():
-            share, slack = ranks[key] / inside, 2 / QUARTILE_ACCURACY
-            at = [min(max(share + s, 0.0), 1.0) for s in (-slack, slack)]
-            low, high = df.select(F.when(parts[key].between(*wanted[key]), parts[key]).alias("v")).agg(F.percentile_approx("v", at, QUARTILE_ACCURACY)).first()[0]
-            narrower[key] = (low, high) if (low, high) != wanted[key] else _halved(df, parts[key], low, high, ranks[key])
-        wanted = narrower
+    ranks: dict[tuple[str, int], int] = {}
+    between: dict[tuple[str, int], tuple[float | None, float | None, int]] = {}
+    while open_ends:
+        counted = _count_at(df, open_ends)
+        wide: dict[tuple[str, int], tuple[float | None, float | None, int, int]] = {}
+        for key, (low, high) in open_ends.items():
+            n, under_low, upto_low, under_high, upto_high = counted[key]
+            rank = ranks.setdefault(key, -(-n * (1, 3)[key[1]] // 4))
+            if under_low < rank <= upto_low:
+                found[key] = low
+            elif under_high < rank <= upto_high:
+                found[key] = high
+            else:
+                part = (None, low, 0, under_low) if rank <= under_low else (low, high, upto_low, under_high) if rank <= under_high else (high, None, upto_high, n)
+                between.pop(key, None)
+                if part[3] - part[2] > QUARTILE_VALUES:
+                    wide[key] = part
+                else:
+                    between[key] = part[:3]
+        open_ends = _narrowed(df, wide, ranks) if wide else {}
+    found |= _at_ranks(df, between, ranks) if between else {}
     return {name: (found[name, 0], found[name, 1]) for name in around if (name, 0) in found and (name, 1) in found}
 
 
-def _halved(df: DataFrame, c: Column, low: float, high: float, rank: int) -> tuple[float, float]:
-    """A few values with very many rows each: split at the middle of the range, keeping the side that holds the rank."""
-    inner = F.when(c.between(low, high), c)
-    middle = low + (high - low) / 2
-    upto, lower, upper = df.agg(F.count_if(inner <= middle), F.max(F.when(inner <= middle, inner)), F.min(F.when(inner > middle, inner))).first()
-    return (low, lower) if upto >= rank else (upper, high)
+def _number(name: str) -> Column:
+    return F.col(quoted(name)).cast("double")
+
+
+def _inside(c: Column, low: float | None, high: float | None) -> Column:
+    above = F.lit(True) if low is None else c > F.lit(low)
+    return c.isNotNull() & above & (F.lit(True) if high is None else c < F.lit(high))
+
+
+def _count_at(df: DataFrame, bounds: dict[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], list[int]]:
+    """Of each key: the rows, and how many lie below and up to the lower and the upper bound."""
+    keys = list(bounds)
+    scans = []
+    for part in _chunks(keys, EXPRESSIONS_PER_SCAN // 5):
+        tests = []
+        for key in part:
+            c, (low, high) = _number(key[0]), bounds[key]
+            tests.append(F.array(F.count(c), *(F.count_if(t) for t in (c < F.lit(low), c <= F.lit(low), c < F.lit(high), c <= F.lit(high)))))
+        scans.append(df.agg(*(test.alias(str(i)) for i, test in enumerate(tests))))
+    rows = collect_together(scans)
+    return dict(zip(keys, (counts for (row,) in rows for counts in row), strict=True))
+
+
+def _narrowed(df: DataFrame, wide: dict, ranks: dict) -> dict[tuple[str, int], tuple[float, float]]:
+    """New bounds, from the values strictly inside the old ones."""
+    keys, slack = list(wide), 2 / QUARTILE_ACCURACY
+    scans = []
+    for part in _chunks(keys, EXPRESSIONS_PER_SCAN // 5):
+        sketches = []
+        for key in part:
+            low, high, before, upto = wide[key]
+            share = (ranks[key] - before) / (upto - before)
+            at = [min(max(share + s, 0.0), 1.0) for s in (-slack, slack)]
+            c = _number(key[0])
+            sketches.append(F.percentile_approx(F.when(_inside(c, low, high), c), at, QUARTILE_ACCURACY))
+        scans.append(df.agg(*(sketch.alias(str(i)) for i, sketch in enumerate(sketches))))
+    return {key: tuple(bounds) for key, bounds in zip(keys, (b for (row,) in collect_together(scans) for b in row), strict=True)}
+
+
+def _at_ranks(df: DataFrame, between: dict, ranks: dict) -> dict[tuple[str, int], float]:
+    """The value at each key's rank among those strictly between its bounds; a row for each key is all that is collected."""
+    keys = list(between)
+    scans = []
+    for part in _chunks(keys, EXPRESSIONS_PER_SCAN):
+        entries = []
+        for i, key in enumerate(part):
+            low, high, before = between[key]
+            c = _number(key[0])
+            entries.append(F.when(_inside(c, low, high), F.struct(F.lit(i).alias("i"), F.lit(ranks[key] - before).cast("long").alias("rank"), c.alias("value"))))
+        counted = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("i", "rank", "value").agg(F.count(F.lit(1)).alias("n"))
+        upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("value")))
+        scans.append(upto.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))).select("i", "value"))
+    found = {}
+    for part, rows in zip(_chunks(keys, EXPRESSIONS_PER_SCAN), collect_together(scans), strict=True):
+        found |= {part[r["i"]]: r["value"] for r in rows}
+    return found
 
 
 def _prepare_text(c: Column, i: int, database_text: bool) -> dict[str, Column]:
@@ -239,7 +282,7 @@ def _scan(df: DataFrame, stats_of: Sequence[tuple[int, dict[str, Column]]]) -> D
     return df.agg(F.count(F.lit(1)).alias("rows:0"), *statistics)
 
 
-def base_scans(df: DataFrame, database_text: bool = False) -> list[DataFrame]:
+def base_scans(df: DataFrame, database_text: bool = False, quartiles_too: bool = True) -> list[DataFrame]:
     """One-row aggregates. Columns are scanned by family, so each scan reads its own columns only; the quantile
     sketches are kept apart because they would move the plain aggregates out of generated code."""
     numbers, quartiles, texts, others = [], [], [], []
@@ -249,7 +292,8 @@ def base_scans(df: DataFrame, database_text: bool = False) -> list[DataFrame]:
             texts.append((i, f.name))
         elif is_numeric(f.dataType):
             numbers.append((i, _number_stats(c)))
-            quartiles.append((i, _quartiles(c)))
+            if quartiles_too:
+                quartiles.append((i, _quartiles(c)))
         else:
             others.append((i, _other_stats(c, f.dataType)))
     scans = []
@@ -353,21 +397,40 @@ def details(
 # --- the profile ------------------------------------------------------------------------------------------------
 
 
-def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
-    """Profile every column. ``database_text`` selects the variant for database sources: more date layouts and
-    numeric-text statistics, but no e-mail, category or value-shape checks."""
-    spark, fields = df.sparkSession, df.schema.fields
-    *scans, distinct = collect_together([*base_scans(df, database_text), distinct_counts(df)])
+def _collected(fields: Sequence[T.StructField], scans: Iterable[list]) -> list[dict[str, Any]]:
     found: list[dict[str, Any]] = [{"distinct": 0} for _ in fields]
     for (row,) in scans:
         for name, value in row.asDict().items():
             statistic, i = name.split(":")
             found[int(i)][statistic] = value
+    return found
+
+
+def privacy_review(df: DataFrame) -> DataFrame:
+    """The privacy findings of a table alone: one pass over its text columns, without distinct counts, quartiles or details."""
+    fields = df.schema.fields
+    texts = [f for f in fields if is_text(f.dataType)]
+    found = _collected(texts, collect_together(base_scans(df.select(*(quoted(f.name) for f in texts))))) if texts else []
+    labels = {f.name: _text_label(row, 0, True) for f, row in zip(texts, found, strict=True) if row["non_null"]}
+    values = [finding for f, row in zip(texts, found, strict=True) for finding in privacy.value_findings(f.name, row["signals"])]
+    rows = privacy.review([(f.name, labels.get(f.name, type_label(f.dataType))) for f in fields], values)
+    return small_frame(df.sparkSession, rows, privacy.PRIVACY)
+
+
+def profile(df: DataFrame, *, database_text: bool = False, quartiles: bool = True) -> Profile:
+    """Profile every column. ``database_text`` selects the variant for database sources: more date layouts and
+    numeric-text statistics, but no e-mail, category or value-shape checks. Without ``quartiles`` there are no q25, q75 and
+    outlier findings, and their passes are saved; suggestions, drift and frequencies need none."""
+    spark, fields = df.sparkSession, df.schema.fields
+    *scans, distinct = collect_together([*base_scans(df, database_text, quartiles), distinct_counts(df)])
+    found = _collected(fields, scans)
     for row in distinct:  # one row per column
         found[row.position]["distinct"] = row.distinct_count
     surrounded = {f.name: found[i]["around"] for i, f in enumerate(fields) if found[i].get("around")}
-    for name, quartiles in exact_quartiles(df, surrounded).items():
-        found[next(i for i, f in enumerate(fields) if f.name == name)]["quartiles"] = quartiles
+    at_ranks = exact_quartiles(df, surrounded)
+    for i, f in enumerate(fields):
+        if f.name in at_ranks:
+            found[i]["quartiles"] = at_ranks[f.name]
     row_count = found[0]["rows"]
     columns = [_summarise_column(i, f, found[i], row_count, database_text) for i, f in enumerate(fields)]
 
@@ -387,7 +450,7 @@ def profile(df: DataFrame, *, database_text: bool = False) -> Profile:
         if found[i].get("signals")
         for finding in privacy.value_findings(c["column"], found[i]["signals"])
     ]
-    reviewed = privacy.review(spark, [(c["column"], c["inferred_type"]) for c in columns], values_found)
+    reviewed = privacy.review([(c["column"], c["inferred_type"]) for c in columns], values_found)
     return Profile(row_count, columns, _findings(columns, found, seen, database_text), reviewed, spark)
 
 

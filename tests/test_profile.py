@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import privacy
-from plumbline.operators.profile import fences, metadata_only, profile
+from plumbline.operators.profile import fences, metadata_only, privacy_review, profile
 from plumbline.operators.report import report_tables, write_report
 from plumbline.operators.suggest import suggestions
 
@@ -101,7 +101,7 @@ def test_fences():
 
 
 def test_privacy_names(spark):
-    rows = privacy.review(spark, [("rijksregisternummer", "text"), ("medische_diagnose", "text"), ("contact_email", "email")], [])
+    rows = privacy.review([("rijksregisternummer", "text"), ("medische_diagnose", "text"), ("contact_email", "email")], [])
     assert [(r[1], r[2], r[3]) for r in rows] == [
         ("high", "medische_diagnose", "Special category (Article 9): health"),
         ("high", "rijksregisternummer", "Personal data: direct identifier"),
@@ -118,7 +118,7 @@ def test_name_table_agrees_with_single_names(spark):
         ("vakbond", "political, religious or union"), ("trace_id", "racial or ethnic origin"),
     }
     value = ("high", "E_MAIL", "Personal data: contact detail", 3, "seen")
-    assert privacy.review(spark, [("E_MAIL", "text")], [value]) == [(0, *value)]  # the later finding wins
+    assert privacy.review([("E_MAIL", "text")], [value]) == [(0, *value)]  # the later finding wins
 
 
 PROFILE = "position int, column string, inferred_type string, null_rate double, blank_rate double, distinct_count long, min string, max string, min_length int, max_length int, sample_values array<string>"
@@ -178,20 +178,46 @@ def test_many_odd_values_cost_no_group(spark):
     assert [r.value for r in examples.orderBy("value").collect()] == ["0", "1", "10", "100", "101"]
 
 
-def test_exact_quartiles_at_any_spread(spark):
+@pytest.mark.parametrize("limit", [4_000_000, 100, 3])
+def test_exact_quartiles_at_any_spread(spark, monkeypatch, limit):
     from plumbline.operators import profile as p
 
-    rows = [(float(i * i % 7919), 5.0 if i % 3 else float(i)) for i in range(3000)]
-    df = spark.createDataFrame(rows, "a double, b double")
-    wide = {"a": (0.0, 7919.0, 0.0, 7919.0), "b": (0.0, 3000.0, 0.0, 3000.0)}
-    kept, p.QUARTILE_VALUES = p.QUARTILE_VALUES, 100  # so that bounds have to be narrowed
-    try:
-        found = p.exact_quartiles(df, wide)
-    finally:
-        p.QUARTILE_VALUES = kept
-    for k, name in enumerate("ab"):
-        values = sorted(r[k] for r in rows)
-        assert found[name] == (values[749], values[2249])
+    inf, nan = float("inf"), float("nan")
+    rows = [(float(i * i % 7919), 5.0 if i % 3 else float(i), inf if i % 4 == 0 else 1.0, (-inf, inf)[i % 2], nan if i < 2000 else float(i), None if i % 2 else float(i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double")
+    monkeypatch.setattr(p, "QUARTILE_VALUES", limit)  # so that bounds have to be narrowed
+    wide = {"a": (0.0, 7919.0, 0.0, 7919.0), "b": (4.0, 5.5, 7.0, 9.0), "c": (1.0, inf, 1.0, inf), "d": (-inf, inf, -inf, inf), "e": (2000.0, 2001.0, nan, nan), "f": (0.0, 4.0, 0.0, 4.0)}
+    found = p.exact_quartiles(df, wide)
+    for k, name in enumerate("abcdef"):
+        values = sorted((r[k] for r in rows if r[k] is not None), key=lambda v: (v != v, v))
+        expected = tuple(values[-(-len(values) * q // 4) - 1] for q in (1, 3))
+        assert str(found[name]) == str(expected)
+
+
+def test_quartiles_take_two_passes_for_all_columns(spark, monkeypatch):
+    from plumbline.operators import profile as p
+
+    df = spark.range(100_000).selectExpr(*(f"cast(pmod(hash(id, {k}), 1000000007) as double) AS c{k}" for k in range(8)), "if(id % 4 = 0, cast(id as double), 5.0) AS ties", "if(id % 4 = 0, double('infinity'), 1.0) AS ends")
+    queries = []
+    monkeypatch.setattr(p, "collect_together", lambda frames, kept=p.collect_together: queries.append(len(frames)) or kept(frames))
+    around = {name: r for name, r in zip(df.columns, df.agg(*(p._quartiles(F.col(c))["around"] for c in df.columns)).first(), strict=True)}
+    found = p.exact_quartiles(df, around)
+    assert queries == [2, 1]  # one counting pass over 10 columns in two parts, one pass for what lies between
+    rows = df.collect()
+    for name in df.columns:
+        values = sorted(r[name] for r in rows)
+        assert found[name] == (values[24_999], values[74_999])
+
+
+def test_privacy_review_of_a_table_equals_the_profile(spark):
+    df = spark.createDataFrame([(f"a{i}@b.example", "10.0.0.1" if i % 3 else "x", i, None, "BE12345678901234") for i in range(9)], "contact string, host string, n int, empty string, iban string")
+    assert privacy_review(df).collect() == profile(df).privacy_frame().collect() != []
+    assert privacy_review(df.select("n")).count() == 0
+
+
+def test_of_findings_the_last_is_kept(spark):
+    frame = spark.createDataFrame([(1, "a", "x"), (3, "a", "x"), (2, "a", "y")], "step int, column string, category string")
+    assert sorted(tuple(r) for r in privacy.keep_last(frame, ["column", "category"], "step").collect()) == [(2, "a", "y"), (3, "a", "x")]
 
 
 def test_frequency_keeps_blanks_beside_a_hundred_values(spark):
