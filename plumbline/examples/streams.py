@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.examples.registry import AS_OF, FOLDER, folder, registered, rule, table
@@ -115,18 +117,21 @@ def csv_mixed_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 @registered(
-    "SELECT 'latin-1' AS encoding, FALSE AS multi_line, count(*) > 0 AS found FROM part WHERE contains(p_name, 'r') UNION ALL "
-    "SELECT 'utf-8', TRUE, count(*) > 0 FROM documents WHERE contains(text, chr(10)) UNION ALL SELECT 'utf-16', FALSE, count(*) > 0 FROM nation"
+    "SELECT 'latin' AS folder, 'latin-1' AS encoding, FALSE AS multi_line, count(*) AS records FROM part UNION ALL "
+    "SELECT 'utf8', 'utf-8', count(*) FILTER (contains(text, chr(10))) > 0, count(*) FROM documents UNION ALL SELECT 'wide', 'utf-16', FALSE, count(*) FROM nation"
 )
 def csv_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """Three folders of files of different encodings: what is found in them, and how many records are read that way."""
     where = scratch(spark, "csv")
-    accented = table(spark, path, "part").select("p_partkey", F.regexp_replace("p_name", "r", "é").alias("p_name"))
-    write_csv(accented.coalesce(1), f"{where}/latin", ";", "ISO-8859-1")
-    write_csv(table(spark, path, "documents").select("doc_id", "text").coalesce(1), f"{where}/utf8")
-    write_csv(table(spark, path, "nation").coalesce(1), f"{where}/wide", ",", "UTF-16")
-    found = csv.encodings(spark, where).filter(F.col("path").endswith(".csv"))
-    wide = F.col("encoding") == "utf-16"  # its bytes are not lines, so quotes say nothing
-    return found.groupBy("encoding", (F.col("multi_line") & ~wide).alias("multi_line")).agg((F.count(F.lit(1)) > 0).alias("found"))
+    accented = table(spark, path, "part").select("p_partkey", F.concat(F.lit("é"), "p_name").alias("p_name"))
+    write_csv(accented, f"{where}/latin", ";", "ISO-8859-1")
+    write_csv(table(spark, path, "documents").select("doc_id", "text"), f"{where}/utf8")
+    write_csv(table(spark, path, "nation"), f"{where}/wide", ",", "UTF-16")
+    folder = F.regexp_extract("path", "/([^/]+)/[^/]+$", 1).alias("folder")
+    multi_line = F.bool_or(F.col("multi_line") & (F.col("encoding") != "utf-16"))  # bytes of UTF-16 are not lines
+    found = csv.encodings(spark, where).filter(F.col("path").endswith(".csv")).groupBy(folder).agg(F.min("encoding").alias("encoding"), multi_line.alias("multi_line"))
+    read = [csv.read_csv(spark, f"{where}/{name}").agg(F.count(F.lit(1)).alias("records")).select(F.lit(name).alias("folder"), "records") for name in ("latin", "utf8", "wide")]
+    return found.join(reduce(DataFrame.union, read), "folder")
 
 
 @registered(
@@ -155,7 +160,7 @@ def csv_connection_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rules on a folder of CSV files: SQL over all of them, one file, and a reference into the Parquet tables."""
     where = scratch(spark, "csv")
     write_csv(table(spark, path, "orders").select("o_orderkey", "o_custkey").repartition(3), f"{where}/orders")
-    write_csv(table(spark, path, "customer").coalesce(1), f"{where}/customer")
+    write_csv(table(spark, path, "customer"), f"{where}/customer")
     connections = {**folder(path), 2: Connection(2, "files", "csv", {"base_path": where})}
 
     def on_csv(id: int, kind: str, **config: object) -> Rule:

@@ -17,23 +17,20 @@ from plumbline.spec import Rule
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start_id, group_id)`` for every group reached from each start by one or more edges; cycles are fine.
 
-    Each round follows the edges of the groups found in the round before and keeps only pairs not seen yet.
+    Paths are doubled: what is reached by up to n edges, followed by a jump of exactly n, reaches up to 2n, and two jumps of n are
+    one of 2n. So a chain a thousand deep takes ten rounds. All pairs found so far are one written table.
     """
-    edges = edges.select("parent_id", "child_id").distinct()
-    steps = starts.select(F.col("id").alias("start_id"), F.col("id").alias("group_id"))
-    seen = None
+    jumps = cut_lineage(edges.select(F.col("parent_id").alias("near"), F.col("child_id").alias("far")).distinct())
+    first = starts.select(F.col("id").alias("start_id")).distinct().join(jumps, F.col("start_id") == F.col("near"))
+    seen = cut_lineage(first.select("start_id", F.col("far").alias("group_id")))
     while True:
-        step = (
-            steps.join(edges, steps.group_id == edges.parent_id)
-            .select("start_id", F.col("child_id").alias("group_id"))
-            .distinct()
-        )
-        if seen is not None:
-            step = step.join(seen, ["start_id", "group_id"], "left_anti")
-        steps = cut_lineage(step)
-        if steps.isEmpty():
-            return seen if seen is not None else steps
-        seen = steps if seen is None else seen.unionByName(steps)
+        further = seen.join(jumps, seen.group_id == jumps.near).select("start_id", F.col("far").alias("group_id")).distinct()
+        new = cut_lineage(further.join(seen, ["start_id", "group_id"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = cut_lineage(seen.unionByName(new))
+        again = jumps.select(F.col("near").alias("from"), F.col("far").alias("near"))
+        jumps = cut_lineage(again.join(jumps, "near").select(F.col("from").alias("near"), "far").distinct())
 
 
 def closure(edges: DataFrame, groups: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -97,11 +94,77 @@ def inner_edges(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _followed(chain: DataFrame, side: str, singles: int) -> DataFrame:
+    """``(node, end)``: where a walk over single nodes comes out; on a loop of single nodes it stays among them."""
+    walk = cut_lineage(chain.select("node", F.col(side).alias("end")))
+    for _ in range(max(singles, 1).bit_length() + 1):  # each round doubles the steps of all walks
+        jump = walk.select(F.col("node").alias("end"), F.col("end").alias("on"))
+        walk = cut_lineage(walk.join(jump, "end", "left").select("node", F.coalesce("on", "end").alias("end")))
+        if walk.join(walk.select(F.col("node").alias("end")), "end", "left_semi").isEmpty():
+            break
+    return walk
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` of the groups that reach each other, for all groups left when those without a way in or out are stripped.
+
+    The smallest group that reaches a group is its colour; the groups of a colour that lead back to the one it is named after are one
+    component. Then these are taken out, and the rest is coloured again. Each round of each walk costs no more than the edges.
+    """
+    found, left = None, inner_edges(edges)
+    while not left.isEmpty():
+        nodes = left.select(F.col("parent_id").alias("node")).union(left.select(F.col("child_id").alias("node"))).distinct()
+        colours = cut_lineage(nodes.withColumn("colour", F.col("node")))
+        while True:
+            heard = left.join(colours, left.parent_id == colours.node).groupBy(F.col("child_id").alias("node")).agg(F.min("colour").alias("heard"))
+            nearer = colours.join(heard, "node", "left").select("node", F.col("colour").alias("was"), F.least("colour", "heard").alias("colour"))
+            nearer = cut_lineage(nearer)
+            changed = nearer.filter(F.col("was") != F.col("colour"))
+            colours = nearer.select("node", "colour")
+            if changed.isEmpty():
+                break
+        own = colours.select(F.col("node").alias("parent_id"), "colour"), colours.select(F.col("node").alias("child_id"), F.col("colour").alias("other"))
+        inside = cut_lineage(left.join(own[0], "parent_id").join(own[1], "child_id").filter("colour = other").select("parent_id", "child_id"))
+        back = cut_lineage(colours.filter(F.col("node") == F.col("colour")).select("node"))
+        new = back
+        while not new.isEmpty():
+            step = inside.join(new, inside.child_id == new.node).select(F.col("parent_id").alias("node")).distinct()
+            new = cut_lineage(step.join(back, "node", "left_anti"))
+            back = cut_lineage(back.unionByName(new))
+        part = colours.join(back, "node", "left_semi").select("node", F.col("colour").alias("component"))
+        found = cut_lineage(part if found is None else found.unionByName(part))
+        rest = left.join(back.select(F.col("node").alias("parent_id")), "parent_id", "left_anti")
+        left = inner_edges(rest.join(back.select(F.col("node").alias("child_id")), "child_id", "left_anti"))
+    return found if found is not None else left.select(F.col("parent_id").alias("node"), F.col("child_id").alias("component"))
+
+
 def groups_in_cycles(edges: DataFrame) -> DataFrame:
-    """Groups that contain themselves. Pairs are built only among the groups that stripping leaves."""
-    edges = inner_edges(edges)
-    starts = edges.select(F.col("parent_id").alias("id")).distinct()
-    return reachable(edges, starts).filter(F.col("start_id") == F.col("group_id")).select("group_id").distinct()
+    """Groups that contain themselves, found without pairs of them.
+
+    Groups with one way in and one way out are walked over by doubling: such a walk either never leaves, and then all of it is a
+    loop, or it is one edge between two other groups. Of the graph left, groups that cannot lie on a loop are stripped, and the
+    rest has components; a walk lies on a loop where both its ends are in one.
+    """
+    edges = cut_lineage(edges.select("parent_id", "child_id").distinct())
+    ways_in = edges.groupBy(F.col("child_id").alias("node")).agg(F.count(F.lit(1)).alias("in"), F.min("parent_id").alias("behind"))
+    ways_out = edges.groupBy(F.col("parent_id").alias("node")).agg(F.count(F.lit(1)).alias("out"), F.min("child_id").alias("ahead"))
+    single = (F.col("in") == 1) & (F.col("out") == 1) & (F.col("behind") != F.col("node"))
+    chain = cut_lineage(ways_in.join(ways_out, "node").filter(single).select("node", "behind", "ahead"))
+    singles = chain.count()
+    ends = _followed(chain, "ahead", singles).select("node", F.col("end").alias("ahead"))
+    ends = cut_lineage(ends.join(_followed(chain, "behind", singles).select("node", F.col("end").alias("behind")), "node"))
+    names = chain.select("node")
+    around = ends.join(names.select(F.col("node").alias("ahead")), "ahead", "left_semi").select("node")
+    across = cut_lineage(ends.join(names.select(F.col("node").alias("ahead")), "ahead", "left_anti").select("node", "behind", "ahead"))
+    others = edges.join(names.select(F.col("node").alias("parent_id")), "parent_id", "left_anti").join(names.select(F.col("node").alias("child_id")), "child_id", "left_anti")
+    core = cut_lineage(others.select("parent_id", "child_id").union(across.select("behind", "ahead")).distinct())
+    parts = cut_lineage(strong_components(core))
+    loops = core.filter("parent_id = child_id").select(F.col("parent_id").alias("node"))
+    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    together = parts.join(large, "component", "left_semi").select("node").union(loops)
+    first, last = (parts.select(F.col("node").alias(side), F.col("component").alias(f"{side}_part")) for side in ("behind", "ahead"))
+    between = across.join(first, "behind").join(last, "ahead").filter(F.col("behind_part") == F.col("ahead_part")).select("node")
+    return around.union(together).union(between).select(F.col("node").alias("group_id")).distinct()
 
 
 def ancestors(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -141,3 +141,40 @@ def test_stripping_leaves_loops_and_what_lies_between(spark):
     assert sorted(map(tuple, hierarchy.inner_edges(edges).collect())) == sorted(loops)
     assert sorted(r.group_id for r in hierarchy.groups_in_cycles(edges).collect()) == [1, 2, 3, 4, 7]
     assert hierarchy.groups_in_cycles(edges.filter("parent_id in (0, 9)")).isEmpty()
+
+
+def test_loops_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (55, 2))]
+    edges += [(100 + i, 100 + (i + 1) % 40) for i in range(40)]  # a loop of single nodes
+    edges += [(200, 201), (201, 202), (202, 200), (200, 203), (203, 204), (204, 201), (204, 300), (300, 301), (301, 302), (302, 300), (400, 400), (401, 400), (500, 501), (501, 500)]
+    follows = {}
+    for a, b in edges:
+        follows.setdefault(a, set()).add(b)
+
+    def below(start):
+        reached, todo = set(), [start]
+        while todo:
+            new = follows.get(todo.pop(), set()) - reached
+            reached |= new
+            todo += new
+        return reached
+
+    expected = {n for n in follows if n in below(n)}
+    frame = spark.createDataFrame(edges, "parent_id long, child_id long")
+    found = [r.group_id for r in hierarchy.groups_in_cycles(frame).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and {100, 139, 200, 203, 300, 400, 501} <= expected
+    starts = spark.createDataFrame([(n,) for n in (0, 5, 100, 200, 401, 999)], "id long")
+    pairs = sorted(tuple(r) for r in hierarchy.reachable(frame, starts).collect())
+    assert pairs == sorted((s, n) for s in (0, 5, 100, 200, 401) for n in below(s))
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df, kept=hierarchy.cut_lineage: written.append(1) or kept(df))
+    chain = spark.range(300).selectExpr("id AS parent_id", "id + 1 AS child_id")
+    found = hierarchy.reachable(chain, spark.createDataFrame([(0,), (150,)], "id long"))
+    assert found.groupBy("start_id").count().orderBy("start_id").collect() == [(0, 300), (150, 150)]
+    assert len(written) <= 3 * 11
