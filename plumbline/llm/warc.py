@@ -9,6 +9,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -110,20 +111,29 @@ def parse_record(data: bytes) -> Capture:
     return Capture(named(fields["WARC-Record-ID"]), fields["WARC-Type"], refers_to, None if refers_to else payload, length, digest)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the file system that Spark resolves it against, so that every executor opens the same one."""
+    spark.range(1, numPartitions=1).write.mode("overwrite").parquet(f"{folder}/_place")
+    here = spark.read.parquet(f"{folder}/_place").select("_metadata.file_path").first()[0]
+    return unquote(here.rsplit("/_place/", 1)[0])
+
+
 def place(folder: str) -> tuple[fs.FileSystem, str]:
-    """A file system and a path in it; a path without a scheme is a shared mount."""
-    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    """The file system and the path in it of a qualified folder (see :func:`qualified`)."""
+    return fs.FileSystem.from_uri(quote(folder, safe="/:@"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     """Write ``captures`` below ``folder``; returns the top of the index, a row for each shard: first key, last key, names.
 
     Rows are dealt out by ranges of (key, id), so a host with a third of all pages takes many tasks. Each task writes one
-    archive of gzip members, one for each record, and one index shard: lines ``key id offset length`` in key order, in gzip
-    blocks of a thousand lines, and a directory with the first key and the range of each block. Names hold a number drawn for
+    archive of gzip members, one for each record, and one index shard: lines ``key id offset length`` in order of key and id, in
+    gzip blocks of a thousand lines, and a directory with the first key and id and the range of each block. Names hold a number drawn for
     each attempt, and only names that a finished task returned are ever read: a task that is repeated does no harm.
     """
-    ordered = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    texts = rows.select("key", F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
+    ordered = texts.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    folder = qualified(rows.sparkSession, folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
@@ -139,7 +149,8 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         def close_block() -> int:
             packed = gzip.compress("".join(lines).encode(), 6, mtime=0)
             index.write(packed)
-            directory.append(f"{lines[0].split(' ', 1)[0]} {block_at} {len(packed)}\n")
+            key, id, *_ = lines[0].split(" ")
+            directory.append(f"{key} {id} {block_at} {len(packed)}\n")
             lines.clear()
             return len(packed)
 
@@ -147,11 +158,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             for key, id, url, payload, refers in zip(*(batch[c] for c in ("key", "id", "url", "payload", "refers_to")), strict=True):
                 if archive is None:
                     store.create_dir(base, recursive=True)
-                    archive, index, first = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None), store.open_output_stream(f"{base}/{name}.cdx.gz", compression=None), key
+                    archive, index, first = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None), store.open_output_stream(f"{base}/{name}.cdx.gz", compression=None), (key, id)
                 packed = gzip.compress(record(id, url or "", (payload or "").encode(), refers), 6, mtime=0)
                 archive.write(packed)
                 lines.append(f"{key} {id} {at} {len(packed)}\n")
-                at, last = at + len(packed), key
+                at, last = at + len(packed), (key, id)
                 if len(lines) == BLOCK_LINES:
                     block_at += close_block()
         if archive is not None:
@@ -161,31 +172,44 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             index.close()
             with store.open_output_stream(f"{base}/{name}.idx") as out:
                 out.write("".join(directory).encode())
-            yield pd.DataFrame({"first_key": [first], "last_key": [last], "name": [name]})
+            yield pd.DataFrame([(*first, *last, name)], columns=["first_key", "first_id", "last_key", "last_id", "name"])
+
+    return cut_lineage(ordered.mapInPandas(write, "first_key string, first_id string, last_key string, last_id string, name string"))
+
 
-    texts = ordered.select("key", F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
-    return cut_lineage(texts.mapInPandas(write, "first_key string, last_key string, name string"))
+def _pair(key: str, id: str) -> tuple[bytes, bytes]:
+    return key.encode(), id.encode()
 
 
 class Index:
-    """Looks up captures by key: shard by its key range, block by binary search in the directory, line by range read."""
+    """Looks up captures by key and id: shard by its range, block by binary search in the directory, line in the block by another,
+    record by range read. However many captures an URL has, one of them is found in one or two blocks."""
 
-    def __init__(self, folder: str, shards: list[tuple[str, str, str]]):
+    def __init__(self, folder: str, shards: list[tuple[tuple[bytes, bytes], tuple[bytes, bytes], str]]):
         self.store, self.base = place(folder)
-        self.shards = shards
+        self.shards = shards  # (first, last, name) in order
+        self.starts = [s[0] for s in shards]
         self.name = ""
+        self.files: list = []
         self.block: tuple[int, list[list[str]]] = (-1, [])
 
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
+        self.files = []
+
     def open(self, name: str) -> None:
         if name == self.name:
             return
+        self.close()
         self.name, self.block = name, (-1, [])
         with self.store.open_input_stream(f"{self.base}/{name}.idx") as directory:
             entries = [line.split(" ") for line in directory.read().decode().splitlines()]
-        self.firsts = [e[0].encode() for e in entries]
-        self.ranges = [(int(e[1]), int(e[2])) for e in entries]
+        self.firsts = [_pair(*e[:2]) for e in entries]
+        self.ranges = [(int(e[2]), int(e[3])) for e in entries]
         self.lines = self.store.open_input_file(f"{self.base}/{name}.cdx.gz")
         self.archive = self.store.open_input_file(f"{self.base}/{name}.warc.gz")
+        self.files = [self.lines, self.archive]
 
     def read_block(self, number: int) -> list[list[str]]:
         if self.block[0] != number:
@@ -196,20 +220,21 @@ class Index:
 
     def find(self, key: str, id: str) -> Iterator[bytes]:
         """The records of a capture; several if it was written several times."""
-        wanted = key.encode()
-        for first, last, name in self.shards:
-            if not first <= wanted <= last:
-                continue
+        wanted = _pair(key, id)
+        at = bisect.bisect_right(self.starts, wanted)
+        since = at
+        while since and self.shards[since - 1][1] >= wanted:  # a capture that ends one shard and begins the next
+            since -= 1
+        for _, _, name in self.shards[since:at]:
             self.open(name)
             number = max(bisect.bisect_left(self.firsts, wanted) - 1, 0)
             while number < len(self.firsts) and self.firsts[number] <= wanted:
                 lines = self.read_block(number)
-                at = bisect.bisect_left(lines, wanted, key=lambda line: line[0].encode())
-                while at < len(lines) and lines[at][0] == key:
-                    if lines[at][1] == id:
-                        self.archive.seek(int(lines[at][2]))
-                        yield zlib.decompress(self.archive.read(int(lines[at][3])), 31)
-                    at += 1
+                line = bisect.bisect_left(lines, wanted, key=lambda line: _pair(*line[:2]))
+                while line < len(lines) and lines[line][:2] == [key, id]:
+                    self.archive.seek(int(lines[line][2]))
+                    yield zlib.decompress(self.archive.read(int(lines[line][3])), 31)
+                    line += 1
                 number += 1
 
 
@@ -219,26 +244,23 @@ def look_up(wanted: DataFrame, folder: str, shards: DataFrame) -> DataFrame:
     Shards number as the tasks that wrote them, so their key ranges go along with each task; queries are sorted by key, so a
     task meets each shard, block and stretch of the archive once.
     """
-    top = sorted(((r["first_key"].encode(), r["last_key"].encode(), r["name"]) for r in shards.collect()))
-    firsts = [t[0] for t in top]
-    text = F.coalesce(F.col("id").cast("string"), F.lit("-"))
-    ordered = wanted.select("key", "id").distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id").select("key", text.alias("id"))
+    top = sorted((_pair(r["first_key"], r["first_id"]), _pair(r["last_key"], r["last_id"]), r["name"]) for r in shards.collect())
+    text = F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id")
+    ordered = wanted.select("key", text).distinct().repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    folder = qualified(wanted.sparkSession, folder)
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(folder, [])
-        for batch in batches:
-            out = []
-            for key, id in zip(batch["key"], batch["id"], strict=True):
-                # shards are disjoint but for keys that end one and begin the next
-                upto = bisect.bisect_right(firsts, key.encode())
-                since = upto
-                while since and top[since - 1][1] >= key.encode():
-                    since -= 1
-                index.shards = top[since:upto]
-                for data in index.find(key, id):
-                    c = parse_record(data)
-                    out.append((c.id, c.length, c.digest, c.kind, c.refers_to))
-            yield pd.DataFrame(out, columns=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        index = Index(folder, top)
+        try:
+            for batch in batches:
+                out = []
+                for key, id in zip(batch["key"], batch["id"], strict=True):
+                    for data in index.find(key, id):
+                        c = parse_record(data)
+                        out.append((c.id, c.length, c.digest, c.kind, c.refers_to))
+                yield pd.DataFrame(out, columns=["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        finally:
+            index.close()
 
     return ordered.mapInPandas(fetch, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 

@@ -335,7 +335,7 @@ def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, id string")
     kept, warc.BLOCK_LINES = warc.BLOCK_LINES, 2
     try:
-        found = warc.archive_round_trip(pages.drop("id"), str(tmp_path / "w")).collect()
+        found = warc.archive_round_trip(pages, str(tmp_path / "w")).collect()  # with a column of the operator's own names
     finally:
         warc.BLOCK_LINES = kept
     assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found) == [
@@ -349,6 +349,31 @@ def test_warc_round_trip(spark, tmp_path):
         warc.parse_record(warc.record("7", "http://x/", b"abc", None).replace(b"abc", b"abd"))
 
 
+def test_many_captures_of_one_url_are_found_by_few_blocks(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "hot")
+    pages = spark.range(300).selectExpr("id", "'http://a.example.org/' AS url", "concat('page ', id) AS html")
+    shards = warc.write_archives(warc.captures(pages, "id", "url", "html").repartition(1), folder)
+    top = sorted((warc._pair(r.first_key, r.first_id), warc._pair(r.last_key, r.last_id), r["name"]) for r in shards.collect())
+    index, read = warc.Index(warc.qualified(spark, folder), top), []
+    monkeypatch.setattr(index, "read_block", lambda n, kept=index.read_block: read.append(n) or kept(n))
+    key = top[0][0][0].decode()
+    for id in range(300):
+        read.clear()
+        (data,) = index.find(key, str(id))
+        assert warc.parse_record(data).payload == f"page {id}".encode() and len(read) <= 2 * len(top)
+    assert not list(index.find(key, "301")) and not list(index.find("zz", "1"))
+    files = index.files
+    index.close()
+    assert files and all(f.closed for f in files)
+
+
+def test_folders_go_through_the_file_system_of_spark(spark, tmp_path):
+    place = warc.qualified(spark, f"{tmp_path}/with blank")
+    assert place.startswith("file:/") and place.endswith("/with blank")
+    store, base = warc.place(place)
+    assert store.get_file_info(base).is_file is False and base == f"{tmp_path}/with blank"
+
+
 def test_shared_helpers(spark):
     numbers = spark.range(500).selectExpr("(id * 7919) % 500 AS k", "id % 5 AS v")
     rows = common.prefix_sums(numbers, ["k"], "v", "before").orderBy("k").collect()
