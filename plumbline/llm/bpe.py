@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -93,6 +94,21 @@ def joined(parts: list[Coded]) -> Coded:
     return sum(counts), " ".join(ids), " ".join(texts)
 
 
+def cut_at_blanks(tokenizer_json: str) -> bool:
+    """Whether a blank ends every token and letters are lower-cased, so that a text may be encoded stretch by stretch.
+
+    This holds for BPE with word ends behind a normaliser that lower-cases. Other tokenizers (byte-level ones take the blank
+    into the next token) encode whole texts instead.
+    """
+    described = json.loads(tokenizer_json)
+    todo, kinds = [described.get("normalizer")], set()
+    while todo:
+        step = todo.pop() or {}
+        kinds.add(step.get("type"))
+        todo += step.get("normalizers", [])
+    return "Lowercase" in kinds and described.get("model", {}).get("end_of_word_suffix") == "</w>"
+
+
 class Encoder:
     """Encodes texts by chunks. ``common`` holds chunks encoded beforehand: (head, body, tail) by key."""
 
@@ -105,6 +121,7 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.ends_word = np.array([n.endswith("</w>") for n in self.names])
+        self.by_chunks = cut_at_blanks(tokenizer_json)
         self.common = common or {}
         self.words: dict[bytes, Coded] = {}
         self.seen: dict[bytes, tuple] = {}
@@ -190,7 +207,10 @@ class Encoder:
         Chunks not met before are encoded, then put together, and each join is repaired: the ends of both chunks are encoded
         again as one stretch, which reaches to the blank on either side. A blank ends every token of this tokenizer, so a stretch
         that reaches one on both sides agrees with its neighbours; a join without a blank grows by the next chunk until it has one.
+        With a tokenizer whose tokens reach over blanks (see :func:`cut_at_blanks`) each text is encoded at once.
         """
+        if not self.by_chunks:
+            return self._encode_each(texts)
         own = list(chunk_texts([t.encode() for t in texts]))
         if len(self.seen) > CHUNKS_KEPT:
             self.seen.clear()
@@ -291,6 +311,27 @@ def encode_documents(documents: DataFrame, tokenizer: str, text: str = "text", c
     return _encoded(documents, kept, tokenizer, text, f"`{column}` array<int>, `{decoded}` string", shape)
 
 
+def decode_documents(documents: DataFrame, tokenizer: str, column: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``documents`` with the text that the tokenizer makes of each row's ids, special tokens included.
+
+    Null ids, and ids that are null themselves, decode to nothing; a column of the result's name is replaced.
+    """
+    with open(tokenizer, encoding="utf-8") as file:
+        tokenizer_json = file.read()
+    kept = [c for c in documents.columns if c != decoded]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        library = encoder_for(tokenizer_json, {}).tokenizer
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.iloc[at : at + ROWS_AT_ONCE]
+                ids = [[] if own is None else [int(i) for i in own if i is not None and i == i] for own in part["__ids"]]
+                yield part[kept].assign(**{decoded: library.decode_batch(ids, skip_special_tokens=False)})
+
+    rows = documents.select(*kept, F.col(column).alias("__ids"))
+    return rows.mapInPandas(decode, extended(documents.select(*kept), f"`{decoded}` string"))
+
+
 def digests(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``documents`` without the text, with n_tokens, ids_sha256 and decoded_sha256; cases as in :func:`encode_documents`."""
 
@@ -305,7 +346,7 @@ def digests(documents: DataFrame, tokenizer: str, text: str = "text") -> DataFra
 def _encoded(documents: DataFrame, kept: list[str], tokenizer: str, text: str, more: str, shape: Callable[[list[Coded]], dict[str, list]]) -> DataFrame:
     with open(tokenizer, encoding="utf-8") as file:
         tokenizer_json = file.read()
-    common = common_chunks(documents, text, tokenizer_json)
+    common = common_chunks(documents, text, tokenizer_json) if cut_at_blanks(tokenizer_json) else {}
     shared = documents.sparkSession.sparkContext.broadcast((tokenizer_json, common))
     rows = documents.select(*kept, F.col(text).alias("__text"))
 

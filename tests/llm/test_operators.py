@@ -211,6 +211,25 @@ def test_bpe_equals_the_library(spark, docs, empty):
     assert b"".join(next(bpe.chunk_texts([data]))) == data
 
 
+def test_bpe_decodes_ids_and_takes_other_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["Hello there, Hello World! " * 40, "It's  Ünï\n\ttabs", "", None, "名 x" * 300]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = bpe.tokenizer_path(name)
+        whole = Tokenizer.from_file(path)
+        coded = bpe.encode_documents(frame, path)
+        expected = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        rows = by_id(bpe.decode_documents(coded.withColumnRenamed("decoded", "before"), path))
+        assert [list(rows[i].ids) for i in range(len(texts))] == expected
+        assert [rows[i].decoded for i in range(len(texts))] == [whole.decode(ids, skip_special_tokens=False) for ids in expected]
+        assert all(r.decoded == r.before for r in rows.values())
+    assert [bpe.cut_at_blanks(open(bpe.tokenizer_path(n)).read()) for n in ("byte_bpe_50k.json", "word_bpe_49k.json")] == [False, True]
+    holes = spark.createDataFrame([(None,), ([None],)], "ids array<int>")
+    assert [r.decoded for r in bpe.decode_documents(holes, bpe.tokenizer_path()).collect()] == ["", ""]
+
+
 def test_licences(spark, docs, empty):
     permission = "Permission is hereby granted, free of charge, to any person (and firm) obtaining a copy of this software"
     rows = [(1, "CC-BY cc by; All rights reserved. all rights"), (2, permission), (3, None), (4, "word"), (5, "the GNU General Public License"), (5, "x")]
