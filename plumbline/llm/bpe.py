@@ -126,6 +126,10 @@ class Encoder:
         self.words: dict[bytes, Coded] = {}
         self.seen: dict[bytes, tuple] = {}
 
+    def forget(self) -> None:
+        """Empty the stores, so that a worker does not carry them into the tasks of other stages."""
+        self.words, self.seen, self.common = {}, {}, {}
+
     def encode_words(self, words: list[bytes]) -> list[Coded]:
         """Stretches without blanks; those not met before are encoded together."""
         known = self.words
@@ -242,7 +246,7 @@ ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_for(tokenizer_json: str, common: dict[bytes, tuple]) -> Encoder:
-    """One encoder for each Python worker, so that what a task has encoded serves the tasks after it."""
+    """One encoder for each Python worker: the tokenizer is read once, its stores serve one task."""
     name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if name not in ENCODERS:
         ENCODERS.clear()
@@ -352,10 +356,13 @@ def _encoded(documents: DataFrame, kept: list[str], tokenizer: str, text: str, m
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_for(*shared.value)
-        for batch in batches:
-            for at in range(0, len(batch), ROWS_AT_ONCE):
-                part = batch.iloc[at : at + ROWS_AT_ONCE]
-                yield part[kept].assign(**shape(encoder.encode([t or "" for t in part["__text"]])))
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), ROWS_AT_ONCE):
+                    part = batch.iloc[at : at + ROWS_AT_ONCE]
+                    yield part[kept].assign(**shape(encoder.encode([t or "" for t in part["__text"]])))
+        finally:
+            encoder.forget()
 
     return rows.mapInPandas(code, extended(rows.select(*kept), more))
 
