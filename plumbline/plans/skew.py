@@ -59,9 +59,10 @@ def rows_of_keys(
 
 
 def some_rows_of_keys(df: DataFrame, keys: list[Column], counted: DataFrame, limit: int) -> DataFrame:
-    """Rows of ``limit`` such keys: at least ``limit`` rows where there are so many, without shuffling any."""
+    """Rows of the first ``limit`` such keys: at least ``limit`` rows where there are so many, without shuffling any. The keys
+    are the first in order, so they are the same in every run and however the rows are partitioned."""
     names = key_names(len(keys))
-    chosen = F.broadcast(counted.select(*names).limit(limit))
+    chosen = F.broadcast(counted.select(*names).orderBy(*names).limit(limit))
     return with_keys(df, keys).join(chosen, names, "left_semi").select(*_own(df))
 
 
