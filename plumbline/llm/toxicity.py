@@ -12,14 +12,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import bucket, extended, read, share
 
-#: Terms that name groups of people; swapping one for another must not change a score.
-IDENTITY_TERMS = (
-    "women men girls boys gay lesbian straight transgender muslim christian jewish hindu buddhist atheist black white asian african "
-    "european american mexican immigrant refugee disabled deaf blind old young frauen männer muslime christen juden schwarze weisse "
-    "femmes hommes musulmans chrétiens juifs noirs blancs mujeres hombres musulmanes cristianos judíos negros blancos"
-).split()
-#: Bounds of the fit: labelled rows (an expected number, drawn by a hash), and word or prefix features.
-SAMPLE_ROWS = 16_000
+#: Terms that name groups of people, by language and kind of group; swapping one for another must not change a score.
+IDENTITY_GROUPS = tuple(
+    group.split()
+    for group in (
+        "women men girls boys",
+        "gay lesbian straight transgender",
+        "muslim christian jewish hindu buddhist atheist",
+        "black white asian african european american mexican",
+        "immigrant refugee",
+        "disabled deaf blind",
+        "old young",
+        "frauen männer",
+        "muslime christen juden",
+        "schwarze weisse",
+        "femmes hommes",
+        "musulmans chrétiens juifs",
+        "noirs blancs",
+        "mujeres hombres",
+        "musulmanes cristianos judíos",
+        "negros blancos",
+    )
+)
+IDENTITY_TERMS = [term for group in IDENTITY_GROUPS for term in group]
+#: Bounds of the fit: labelled rows of each label (an expected number, drawn by a hash), and word or prefix features.
+LABEL_ROWS = 8_000
 FEATURES = 2_048
 PREFIXES = (3, 4, 5, 6)
 L2, COUNTERFACTUAL = 1e-4, 1.0
@@ -39,8 +56,8 @@ def features(text: str | None, swap: dict[str, str] | None = None) -> set[str]:
 
 
 def swapped() -> dict[str, str]:
-    """Each identity term with the next one in its place."""
-    return dict(zip(IDENTITY_TERMS, [*IDENTITY_TERMS[1:], IDENTITY_TERMS[0]], strict=True))
+    """Each identity term with the next one of its language and kind in its place."""
+    return {term: other for group in IDENTITY_GROUPS for term, other in zip(group, [*group[1:], group[0]], strict=True)}
 
 
 @dataclass
@@ -60,14 +77,15 @@ class ToxicityModel:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
     """Fit on the labelled documents (labels: id, toxic 0 or 1; null labels are passed over, of several for a row the largest holds).
 
-    A bounded number of labels is drawn by a hash of their identifiers, whatever the size, and only those are broadcast. Words and
-    beginnings are counted in Spark; the most telling ones become features. The driver then fits a logistic regression with a
-    penalty on large weights and one on the square of each row's change of score when its identity terms are swapped. Without
-    both labels, the score is 0 or 1 everywhere as the label known says, else 0.
+    A bounded number of rows of each label is drawn by a hash of their identifiers, whatever the size, and only those are
+    broadcast; a rare label is thus not drawn away, and the bias is corrected for the shares drawn. Words and beginnings are
+    counted in Spark; the most telling ones become features. The driver then fits a logistic regression with a penalty on large
+    weights and one on the square of each row's change of score when its identity terms are swapped. Without both labels, the
+    score is 0 or 1 everywhere as the label known says, else 0.
     """
     known = labels.filter(F.col(toxic).isNotNull()).groupBy(id).agg(F.max(toxic).cast("int").alias("__y"))
-    total = known.count()
-    drawn = known.filter(share(id) < F.lit(SAMPLE_ROWS / max(total, 1)))
+    shares = {r["__y"]: LABEL_ROWS / r["count"] for r in known.groupBy("__y").count().collect()}
+    drawn = known.filter(share(id) < F.when(F.col("__y") == 1, F.lit(shares.get(1, 1.0))).otherwise(F.lit(shares.get(0, 1.0))))
     rows = documents.select(id, text).join(F.broadcast(drawn), id).select("__y", text)
     swap = swapped()
     terms = set(IDENTITY_TERMS)
@@ -116,6 +134,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, id: str = "doc_id", te
             change[row["x2"]] -= 1
             moved.append(change)
     weights, bias = _solve(x, np.array([r["y"] for r in sample], np.float32), np.array(moved, np.float32))
+    bias += np.log(min(shares[0], 1.0) / min(shares[1], 1.0))
     return ToxicityModel({f: float(w) for f, w in zip(names, weights, strict=True) if w}, float(bias))
 
 

@@ -192,6 +192,28 @@ def test_toxicity_and_counterfactuals(spark, docs, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_toxicity_scores_by_brute_force_and_learns_rare_labels(spark):
+    """Every score is the logistic function of the weights of a text's words and beginnings; a rare label is not drawn away."""
+    for group in toxicity.IDENTITY_GROUPS:
+        assert {toxicity.swapped()[term] for term in group} == set(group)
+    texts = [f"{'vile scum' if i % 100 == 7 else 'kind people'} wrote letter{i % 13} Über{i % 7} x" for i in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 100 == 7)) for i in range(len(texts))], "doc_id long, toxic int")
+    rows, toxicity.LABEL_ROWS = toxicity.LABEL_ROWS, 100
+    try:
+        model = toxicity.fit_toxicity(frame, marks)
+    finally:
+        toxicity.LABEL_ROWS = rows
+    found = by_id(toxicity.score_toxicity(frame.union(spark.createDataFrame([(9000, None), (9001, "...")], frame.schema)), model))
+    for i, text in [*enumerate(texts[:200]), (9000, ""), (9001, "")]:
+        total = model.bias
+        words = {"".join(c for c in part if c.isalpha()) for part in text.lower().replace("0", " ").split()}
+        for feature in {w + "." for w in words if w} | {w[:n] for w in words for n in (3, 4, 5, 6) if len(w) > n}:
+            total += model.weights.get(feature, 0.0)
+        assert abs(found[i].score - 1 / (1 + math.exp(-total))) < 1e-5
+    assert {i for i in range(len(texts)) if found[i].predicted} == {i for i in range(len(texts)) if i % 100 == 7}
+
+
 def test_bpe_equals_the_library(spark, docs, empty):
     from tokenizers import Tokenizer
 
