@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.examples.registry import folder, registered, rule, table
-from plumbline.operators import privacy
-from plumbline.operators.profile import completeness, metadata_only, privacy_review, profile, snapshots_by, source_key
+from plumbline.operators import incremental, privacy
+from plumbline.operators.profile import completeness, distinct_counts, metadata_only, privacy_review, profile, snapshots_by, source_key
 from plumbline.operators.report import report_tables
 from plumbline.operators.suggest import suggestions
+from plumbline.plans.durable import scratch
 from plumbline.plans.runner import Planner
 
 
@@ -413,3 +414,46 @@ def profile_by_source_and_day(spark: SparkSession, path: str) -> DataFrame:
     events = sql_source(spark, path, "SELECT event_type, CAST(ts AS DATE) AS day, value, nullif(user_id, 8) AS user_id FROM events")
     _, columns = snapshots_by(events, ["event_type", "day"])
     return columns.withColumns({"mean": F.round("mean", 8), "stddev": F.round("stddev", 8)})
+
+
+GROWING = {"number": "o_orderkey o_custkey o_totalprice".split(), "text": "o_orderstatus o_orderpriority".split(), "day": ["o_orderdate"]}
+MERGED = {
+    "number": "NULL::BIGINT AS blank_count, min({c})::DOUBLE AS low_number, max({c})::DOUBLE AS high_number, NULL::VARCHAR AS low_text, "
+    "NULL::VARCHAR AS high_text, round(avg({c}), 6)::DOUBLE AS mean, round(stddev_samp({c}), 6)::DOUBLE AS stddev, NULL::INT AS min_length, NULL::INT AS max_length",
+    "text": "count(*) FILTER (trim({c}) = ''), NULL, NULL, min(nullif(trim({c}), '')), max(nullif(trim({c}), '')), NULL, NULL, min(length({c}))::INT, max(length({c}))::INT",
+    "day": "NULL, NULL, NULL, min({c})::VARCHAR, max({c})::VARCHAR, NULL, NULL, NULL, NULL",
+}
+
+
+@registered(
+    " UNION ALL ".join(
+        _per_column(names, "SELECT '{c}' AS \"column\", count(*) AS row_count, count({c}) AS non_null_count, " + MERGED[kind] + " FROM {s}", "orders")
+        for kind, names in GROWING.items()
+    )
+)
+def profile_incremental(spark: SparkSession, path: str) -> DataFrame:
+    """A folder that receives orders in two loads: each update reads the new files only, the profile is merged from what is kept."""
+    where = scratch(spark, "growing")
+    orders = table(spark, path, "orders").select(*(name for names in GROWING.values() for name in names))
+    for is_open in (True, False):
+        orders.filter(F.col("o_orderstatus").eqNullSafe("O") == is_open).write.mode("append").parquet(f"{where}/orders")
+        incremental.update_parts(spark, f"{where}/orders", f"{where}/parts")
+    found = incremental.stored_profile(spark, f"{where}/orders", f"{where}/parts").drop("null_rate", "distinct_estimate")
+    return found.withColumns({"mean": F.round("mean", 6), "stddev": F.round("stddev", 6)})
+
+
+@registered(
+    "SELECT event_type, 'user_id' AS \"column\", count(DISTINCT user_id) AS distinct_count, TRUE AS within_bound FROM events GROUP BY 1 UNION ALL "
+    "SELECT event_type, 'value', count(DISTINCT value), TRUE FROM events GROUP BY 1"
+)
+def profile_sketched_distinct(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct values of a month from the united sketches of its days, held against the exact counts within four standard errors."""
+    events = sql_source(spark, path, "SELECT event_type, CAST(ts AS DATE) AS day, user_id, value FROM events")
+    days = incremental.part_statistics(events, ["event_type", "day"])
+    month = incremental.summarise(incremental.combine(days, ["event_type"]), ["event_type"]).select("event_type", "column", "distinct_estimate")
+    plain = events.drop("day")
+    names = F.array(*(F.lit(name) for name in plain.columns))
+    exact = distinct_counts(plain, ["event_type"]).select("event_type", F.get(names, F.col("position")).alias("column"), "distinct_count")
+    error = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    bound = 4 * incremental.standard_error() * F.col("distinct_count") + 0.5
+    return exact.join(month, ["event_type", "column"]).select("event_type", "column", "distinct_count", (error <= bound).alias("within_bound"))
