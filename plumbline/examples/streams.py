@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.examples.registry import AS_OF, FOLDER, folder, registered, rule, table
 from plumbline.plans import runner
 from plumbline.plans.durable import scratch
 from plumbline.sources import catalog, csv, stores
 from plumbline.spec import Connection, Rule, RuleType
+from plumbline.streaming import keyed
 from plumbline.streaming.checks import start_checks
 from plumbline.streaming.volume import start_trend, windowed_trend
 
@@ -81,6 +84,65 @@ def stream_window_volume(spark: SparkSession, path: str) -> DataFrame:
     return _plain_times(spark.read.schema(trend.schema).parquet(f"{where}/windows"))
 
 
+ARRIVALS = 3
+
+
+def arriving_events(spark: SparkSession, path: str, where: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """The event table in three arrivals in order of time; after each the query runs on from where it stopped."""
+    events = table(spark, path, "events")
+    days = F.datediff("ts", F.lit("2024-01-01"))
+    for i in range(ARRIVALS):
+        arrived = F.least(F.greatest(F.floor(days / 10), F.lit(0)), F.lit(ARRIVALS - 1)) == i
+        events.filter(arrived).write.mode("append").parquet(f"{where}/events")
+        start(spark.readStream.schema(events.schema).parquet(f"{where}/events")).awaitTermination()
+
+
+@registered(
+    "SELECT user_id, props, count(*) AS failed_count FROM events WHERE user_id IS NOT NULL AND props IS NOT NULL GROUP BY ALL HAVING count(*) > 1"
+)
+def stream_unique_keys(spark: SparkSession, path: str) -> DataFrame:
+    """Keys repeated anywhere in the stream, in one micro-batch or several."""
+    where, columns = scratch(spark, "unique"), ["user_id", "props"]
+    arriving_events(spark, path, where, lambda stream: keyed.start_unique(
+        stream, columns, f"{where}/found", f"{where}/state", name="event-keys", available_now=True))
+    return keyed.repeated_keys(spark, f"{where}/found", columns).drop(keyed.WINDOW_START)
+
+
+@registered(
+    "WITH g AS (SELECT user_id, event_type, ts, coalesce(ts - lag(ts) OVER w > INTERVAL 6 HOUR, TRUE) AS opens FROM events WHERE user_id IS NOT NULL AND "
+    "event_type IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)), r AS (SELECT *, count(*) FILTER (opens) OVER "
+    "(PARTITION BY user_id, event_type ORDER BY ts) AS run FROM g) SELECT user_id, event_type, min(ts) AS window_start, count(*) AS failed_count FROM r "
+    "GROUP BY user_id, event_type, run HAVING count(*) > 1 AND max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+)
+def stream_unique_horizon(spark: SparkSession, path: str) -> DataFrame:
+    """Events of one user and type less than six hours apart: every group the watermark has closed."""
+    where, columns = scratch(spark, "unique"), ["user_id", "event_type"]
+    arriving_events(spark, path, where, lambda stream: keyed.start_unique(
+        stream, columns, f"{where}/found", f"{where}/state", name="event-repeats", time_column="ts", horizon="6 hours", lateness="1 hour",
+        available_now=True))
+    found = keyed.repeated_keys(spark, f"{where}/found", columns)
+    return found.withColumn(keyed.WINDOW_START, F.col(keyed.WINDOW_START).cast("timestamp_ntz"))
+
+
+@registered(
+    "SELECT user_id, count(*) AS failed_count FROM events p WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.event_type = 'signup' "
+    "AND s.user_id = p.user_id AND s.ts <= p.ts + INTERVAL 6 HOUR) AND time_bucket(INTERVAL 6 HOUR, p.ts + INTERVAL 6 HOUR, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR "
+    "<= (SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type = 'signup')) - INTERVAL 1 HOUR FROM events) GROUP BY user_id"
+)
+def stream_references(spark: SparkSession, path: str) -> DataFrame:
+    """Purchases of users who have not signed up by six hours later, over the whole stream, as far as the watermark decides."""
+    where = scratch(spark, "references")
+
+    def start(stream: DataFrame) -> StreamingQuery:
+        sides = [stream.filter(F.col("event_type") == kind) for kind in ("purchase", "signup")]
+        missing = keyed.missing_references(sides[0], "user_id", "ts", sides[1], "user_id", "ts", wait="6 hours", lateness="1 hour")
+        return keyed.start_references(missing, f"{where}/found", f"{where}/state", available_now=True)
+
+    arriving_events(spark, path, where, start)
+    found = spark.read.schema("key string, due timestamp, failed_count long").parquet(f"{where}/found")
+    return found.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.sum("failed_count").alias("failed_count"))
+
+
 # --- CSV --------------------------------------------------------------------------------------------------------
 
 
