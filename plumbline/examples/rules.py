@@ -10,6 +10,7 @@ from plumbline.examples.registry import AS_OF, folder, registered, rule, table
 from plumbline.operators.keys import KeyedComparison
 from plumbline.plans import runner
 from plumbline.plans.durable import scratch
+from plumbline.plans.written import write_checked
 from plumbline.sources import catalog, stores
 from plumbline.spec import Rule
 
@@ -280,6 +281,33 @@ def run_batch_summary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@registered(
+    "WITH c AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_discount, l_returnflag, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n "
+    "FROM lineitem WHERE l_quantity > 5) SELECT t.*, CASE WHEN t.failed_count = 0 THEN 'passed' ELSE 'failed' END AS status FROM (SELECT count(*) AS rows_written, "
+    "count(*) FILTER (l_quantity > 45) AS f1, count(*) FILTER (l_returnflag NOT IN ('A', 'N')) AS f2, "
+    "(max(l_shipdate) + INTERVAL 1 DAY < TIMESTAMP '2024-02-01')::BIGINT AS f4, count(*) FILTER (n > 1) AS f5, "
+    "count(*) FILTER (l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')) AS f6 FROM c), LATERAL (VALUES "
+    "(1::BIGINT, rows_written, f1), (2, rows_written, f2), (3, rows_written, 0), (4, rows_written, f4), (5, rows_written, f5), (6, rows_written, f6)) "
+    "AS t(rule_id, checked_count, failed_count)"
+)
+def write_checked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Order lines written once; the writing tasks count for rules 1 to 4, keys and references read what was written."""
+    rules = [
+        rule(1, "value_range", "lineitem", column="l_quantity", min=0, max=45),
+        rule(2, "allowed_values", "lineitem", column="l_returnflag", values=["A", "N"]),
+        rule(3, "row_count", "lineitem", min_count=1),
+        rule(4, "data_freshness", "lineitem", column="l_shipdate", max_age_days=1),
+        rule(5, "unique", "lineitem", columns=["l_orderkey", "l_linenumber"]),
+        rule(
+            6, "referential_integrity", "lineitem", source_key="l_orderkey", target_key="o_orderkey",
+            target="SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'",
+        ),
+    ]
+    lines = table(spark, path, "lineitem").filter("l_quantity > 5")
+    result = write_checked(lines, scratch(spark, "lines"), rules, folder(path), as_of=AS_OF)
+    return result.runs.select("rule_id", "checked_count", "failed_count", "status")
+
+
 @registered(
     BATCH_COUNTS + " SELECT rule_id::BIGINT AS rule_id, least(failed_count, 500)::BIGINT AS evidence_rows "
     "FROM counts WHERE failed_count > 0"

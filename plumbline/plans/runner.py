@@ -353,6 +353,14 @@ def run_rules(
     planner = Planner(spark, connections, as_of or started, source)
     planned = [planner.plan(rule, i) for i, rule in enumerate(rules)]
     counts, runtimes, errors = _execute(spark, _parts(planned))
+    return _result(spark, planned, counts, runtimes, errors, started, executed_by, schedule_id, evidence_limit)
+
+
+def _result(
+    spark: SparkSession, planned: Sequence[PlannedRule], counts: Sequence[Row], runtimes: Mapping[int, int], errors: Mapping[int, str],
+    started: datetime, executed_by: str, schedule_id: int | None, evidence_limit: int | None,
+) -> BatchResult:
+    """Runs and evidence of a batch whose parts have been counted; ``counts`` has a row or more for each rule."""
     planned = [PlannedRule(p.rule, p.position, error=errors[p.position]) if p.position in errors else p for p in planned]
     known = small_frame(
         spark,
