@@ -6,21 +6,23 @@ arrives before the row it points to is not reported.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.scalar import col_of, compact_key, is_integral, normalised_key
 from plumbline.plans.skew import KEY_COUNT, key_names, with_keys
 from plumbline.sources.stores import append, read
 
-TIME, MICROS, SALT, TARGET = "event_time", "micros", "salt", "is_target"  # pandas tuples cannot begin with "_"
+TIME, MICROS, BUCKET, SALT, TARGET = "event_time", "micros", "bucket", "salt", "is_target"
 WINDOW_START = "window_start"
-SALTS = 4
+SALTS, BUCKETS = 4, 256
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -86,19 +88,22 @@ def repeated_keys(spark: SparkSession, path: str, columns: Sequence[str]) -> Dat
 # --- references -------------------------------------------------------------------------------------------------------
 
 MISSING = "key string, due long, failed_count long"
+WAITING = "known map<string,long>, waiting map<string,array<long>>"
 
 
 def missing_references(
     source: DataFrame, source_key: str, source_time: str, target: DataFrame, target_key: str, target_time: str, *,
-    wait: str, lateness: str = "0 seconds", salts: int = SALTS,
+    wait: str, lateness: str = "0 seconds", salts: int = SALTS, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Rows of one stream whose key no row of the other has had by ``wait`` after them: key, when they were due, and how many.
 
     Targets count from the beginning, so a key that was there once stays known; its state is one number. Waiting rows are
-    kept by key and slot of their due time (a slot is as long as ``wait``) and decided when the watermark passes the slot:
-    then every target that could still help has come. Rows of a key are dealt over ``salts`` groups by their time and
-    targets go to all of them, so a key holding a third of the stream is not one task's work. Rows without a key or a time
-    take no part. Keys compare as stripped text.
+    decided by slots of their due time (a slot is as long as ``wait``) when the watermark passes the slot: then every target
+    that could still help has come. Keys are dealt over ``buckets`` by their hash, and a bucket's keys are handled together:
+    a batch calls Python once a bucket, not once a key, and reads the state of the buckets it meets. Rows of a key are dealt
+    over ``salts`` groups by their time and targets go to all of them, so a key holding a third of the stream is not one
+    task's work. A checkpoint keeps the two numbers it began with. Rows without a key or a time take no part. Keys compare
+    as stripped text.
     """
     length = int(pd.Timedelta(wait) // pd.Timedelta(microseconds=1))
     if length < 1000:
@@ -107,8 +112,9 @@ def missing_references(
     dealt = F.pmod(F.xxhash64(TIME), F.lit(salts)).cast("int")
     rows = _side(source, source_key, source_time, lateness).select("*", dealt.alias(SALT), F.lit(False).alias(TARGET))
     targets = _side(target, target_key, target_time, lateness).select("*", known.alias(SALT), F.lit(True).alias(TARGET))
-    grouped = rows.union(targets).groupBy("key", SALT)
-    missing = grouped.transformWithStateInPandas(_Waiting(length), MISSING, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")
+    grouped = rows.union(targets).withColumn(BUCKET, bucket).groupBy(BUCKET, SALT)
+    missing = grouped.applyInPandasWithState(_decide(length), MISSING, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
     return missing.withColumn("due", F.timestamp_micros("due"))
 
 
@@ -118,60 +124,40 @@ def start_references(missing: DataFrame, path: str, checkpoint: str, *, availabl
     return _start(writer.option("checkpointLocation", checkpoint), missing.sparkSession, available_now, interval)
 
 
-class _Waiting(StatefulProcessor):
-    """State of a key: its first target, and the times of waiting rows in one entry for each slot and batch of rows."""
+def _decide(length: int) -> Callable[[Any, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """State of a bucket: the first target of each key, and the times of each key's waiting rows."""
+    never = float("inf")
 
-    def __init__(self, length: int) -> None:
-        self.length = length
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "time long")
-        self.parts = handle.getMapState("parts", "slot long", "count int")
-        self.times = handle.getMapState("times", "slot long, part int", "times array<long>")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        first = known = self._first()
-        for some in rows:
-            times = some[MICROS].to_numpy()
+    def decide(group: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, waiting = state.get if state.exists else ({}, {})
+        for some in batches:  # one without rows when a slot has ended
             is_target = some[TARGET].to_numpy().astype(bool)
-            if is_target.any():
-                found = int(times[is_target].min())
-                first = found if first is None else min(first, found)
-            waiting = times[~is_target]
-            if first is not None:
-                waiting = waiting[waiting + self.length < first]
-            slots = (waiting + self.length) // self.length
-            for slot in pd.unique(slots):
-                self._keep(int(slot), waiting[slots == slot].tolist())
-        if first != known:
-            self.first.update((first,))
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.length - 1
-        first, failed = self._first(), 0
-        for part in range(self.parts.getValue((slot,))[0]):
-            (times,) = self.times.getValue((slot, part))
-            failed += sum(first is None or time + self.length < first for time in times)
-            self.times.removeKey((slot, part))
-        self.parts.removeKey((slot,))
+            for key, time in zip(some["key"][is_target], some[MICROS][is_target].tolist(), strict=True):
+                if time < known.get(key, never):
+                    known[key] = time
+            for key, time in zip(some["key"][~is_target], some[MICROS][~is_target].tolist(), strict=True):
+                if time + length < known.get(key, never):
+                    waiting.setdefault(key, []).append(time)
+        watermark = state.getCurrentWatermarkMs()
+        failed, still, soonest = Counter(), {}, never
+        for key, times in waiting.items():
+            first = known.get(key, never)
+            for time in times:
+                if time + length < first:
+                    due = (time // length + 2) * length
+                    if due <= watermark * 1000:
+                        failed[key, due] += 1
+                    else:
+                        still.setdefault(key, []).append(time)
+                        soonest = min(soonest, due)
+        state.update((known, still))
+        if still:
+            # Goes off once the watermark is later, so a millisecond before the first slot's end, rounded up.
+            state.setTimeoutTimestamp(max(-(-soonest // 1000) - 1, watermark + 1))
         if failed:
-            yield pd.DataFrame({"key": [key[0]], "due": [(slot + 1) * self.length], "failed_count": [failed]})
-
-    def close(self) -> None:
-        pass
-
-    def _first(self) -> int | None:
-        return self.first.get()[0] if self.first.exists() else None
+            yield pd.DataFrame([(*place, count) for place, count in failed.items()], columns=["key", "due", "failed_count"])
 
-    def _keep(self, slot: int, times: list[int]) -> None:
-        count = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
-        self.times.updateValue((slot, count), (times,))
-        self.parts.updateValue((slot,), (count + 1,))
-        if count == 0:
-            # Rounded up: a timer must not go off before its slot has ended.
-            self.handle.registerTimer(-(-(slot + 1) * self.length // 1000))
+    return decide
 
 
 def _side(df: DataFrame, key: str, time: str, lateness: str) -> DataFrame:

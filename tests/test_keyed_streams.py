@@ -120,6 +120,29 @@ def test_references_agree_with_brute_force(references):
     assert expected and got == expected
 
 
+def test_state_of_many_keys_is_kept_by_bucket(spark, tmp_path):
+    keys = [f"k{i}" for i in range(1500)]
+    batches = [([(k, i % 3) for i, k in enumerate(keys)], [(k, 4) for k in keys[::2]] + [(k, 1) for k in keys[::5]]), ([("z", 30)], [("z", 30)])]
+    for rows in batches:
+        for name, side in zip(("source", "target"), rows, strict=True):
+            arrive(spark, tmp_path / name, side)
+        sides = [spark.readStream.schema(ROWS).parquet(str(tmp_path / name)) for name in ("source", "target")]
+        missing = keyed.missing_references(sides[0], "k", "t", sides[1], "k", "t", wait="2 hours")
+        query = keyed.start_references(missing, str(tmp_path / "found"), str(tmp_path / "state"), available_now=True)
+        query.awaitTermination()
+        # Python is called once a state row, so their number must not grow with the keys.
+        assert all(op.numRowsTotal <= keyed.SALTS * 256 for p in query.recentProgress for op in p.stateOperators)
+    found = spark.read.schema("key string, due timestamp, failed_count long").parquet(str(tmp_path / "found"))
+    expected = [k for i, k in enumerate(keys) if i % 5 and (i % 2 or i % 3 < 2)]
+    assert sorted((r.key, r.failed_count) for r in found.collect()) == sorted((k, 1) for k in expected)
+
+
+def test_a_slot_that_ends_with_the_watermark_is_decided(references):
+    references([("a", 0), ("b", 1), ("c", 2)], [("a", 2), ("b", 3.5)])
+    assert references([("z", 4)], [("z", 4)]) == {"b": 1}
+    assert references([("z", 6)], [("z", 6)]) == {"b": 1, "c": 1}
+
+
 def test_short_waits_are_refused(spark, tmp_path):
     arrive(spark, tmp_path / "in", [("a", 0)])
     side = partial(spark.readStream.schema(ROWS).parquet, str(tmp_path / "in"))
