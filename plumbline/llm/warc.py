@@ -41,18 +41,22 @@ def sort_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """What is to be written: (key, id, url, payload, refers_to).
+    """What is to be written: (key, id, url, payload, digest, size, refers_to).
 
-    Of payloads with equal SHA-1 and length of at least 1000 bytes the one with the largest identifier is written, the others
-    refer to it. Digests are counted without the payloads; a payload that a third of the pages share is no hot spot.
+    A row for each page, with ``refers_to`` null, and a note without payload for each that refers to another. Of payloads with
+    equal SHA-1 and length of at least 1000 bytes the one with the largest identifier is written, the others refer to it. Digests
+    are counted and joined without the payloads; rows and notes meet when they are dealt out for writing, so payloads are
+    shuffled once, however many of them are shared. A payload that a third of the pages share is no hot spot.
     """
     payload = text_of(html).cast("binary")
-    rows = pages.select(sort_key(F.col(url)).alias("key"), F.col(id).alias("id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"), F.col(html).alias("payload"))
-    slim = rows.select("id", "digest", "size").filter(F.col("size") >= LEAST_REVISIT)
+    digest, size = F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("size")
+    rows = pages.select(sort_key(F.col(url)).alias("key"), F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("payload"), digest, size)
+    slim = rows.select("key", "id", "digest", "size").filter(F.col("size") >= LEAST_REVISIT)
     shared = cut_lineage(slim.groupBy("digest", "size").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    found = join_counted(rows, shared, ["digest", "size"], "n", total)
-    return found.select("key", "id", "url", "payload", F.when(F.col("id") < F.col("last"), F.col("last")).alias("refers_to"))
+    found = join_counted(slim, shared, ["digest", "size"], "n", total).filter(F.col("id") < F.col("last"))
+    notes = cut_lineage(found.select("key", "id", "digest", "size", F.col("last").alias("refers_to")))
+    return rows.unionByName(notes, allowMissingColumns=True)
 
 
 def record(id: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
@@ -129,16 +133,18 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     Rows are dealt out by ranges of (key, id), so a host with a third of all pages takes many tasks. Each task writes one
     archive of gzip members, one for each record, and one index shard: lines ``key id offset length`` in order of key and id, in
     gzip blocks of a thousand lines, and a directory with the first key and id and the range of each block. Names hold a number drawn for
-    each attempt, and only names that a finished task returned are ever read: a task that is repeated does no harm.
+    each attempt, and only names that a finished task returned are ever read: a task that is repeated does no harm. The note of
+    a capture that refers to another comes just before it.
     """
-    texts = rows.select("key", F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id"), "url", "payload", F.col("refers_to").cast("string").alias("refers_to"))
-    ordered = texts.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    refers_to = F.col("refers_to").cast("string").alias("refers_to")
+    texts = rows.select("key", F.coalesce(F.col("id").cast("string"), F.lit("-")).alias("id"), "url", "payload", "digest", "size", refers_to)
+    ordered = texts.repartitionByRange("key", "id").sortWithinPartitions("key", "id", "digest", "size", F.col("refers_to").asc_nulls_last())
     folder = qualified(rows.sparkSession, folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import uuid
 
-        first = last = None
+        first = last = note = None
         store, base = place(folder)
         name = uuid.uuid4().hex
         archive = index = None
@@ -155,7 +161,11 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             return len(packed)
 
         for batch in batches:
-            for key, id, url, payload, refers in zip(*(batch[c] for c in ("key", "id", "url", "payload", "refers_to")), strict=True):
+            for key, id, url, payload, digest, size, refers_to in zip(*(batch[c] for c in batch), strict=True):
+                if refers_to is not None:
+                    note = (key, id, digest, size), refers_to
+                    continue
+                refers = note[1] if note and note[0] == (key, id, digest, size) else None
                 if archive is None:
                     store.create_dir(base, recursive=True)
                     archive, index, first = store.open_output_stream(f"{base}/{name}.warc.gz", compression=None), store.open_output_stream(f"{base}/{name}.cdx.gz", compression=None), (key, id)

@@ -390,6 +390,30 @@ def test_warc_round_trip(spark, tmp_path):
         warc.parse_record(warc.record("7", "http://x/", b"abc", None).replace(b"abc", b"abd"))
 
 
+def test_payloads_of_archives_are_dealt_out_once(spark, tmp_path, capsys):
+    text = lambda group: f"{group:03d} " * (300 if group % 5 else 249)  # noqa: E731  those of 996 bytes are never revisited
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}", text(i % 25)) for i in range(60)]
+    rows += [(3, "http://h3.org/0", text(4)), (3, "http://h3.org/0", text(4)), (3, "http://h3.org/0", text(900)), (3, "http://other.org/", text(3))]
+    rows += [(None, "http://h3.org/0", text(4)), (None, None, text(4)), (61, None, text(901)), (62, None, text(901))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more shared digests than can be broadcast
+    try:
+        warc.captures(pages).explain()
+        plan = capsys.readouterr().out
+        assert "Physical Plan" in plan and "Exchange" not in plan  # so writing shuffles them the first time
+        back = warc.archive_round_trip(pages, str(tmp_path / "once")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    last = {html: max(i for i, _, h in rows if h == html and i is not None) for _, _, html in rows}
+    expected = []
+    for i, _, html in rows:
+        refers_to = last[html] if i is not None and i < last[html] and len(html) >= 1000 else None
+        expected.append((i, len(html), hashlib.sha1(html.encode()).hexdigest(), "response" if refers_to is None else "revisit", refers_to))
+    assert sorted(map(str, (tuple(r) for r in back))) == sorted(map(str, expected))
+    assert {e[3] for e in expected if e[0] == 3} == {"response", "revisit"}
+
+
 def test_many_captures_of_one_url_are_found_by_few_blocks(spark, tmp_path, monkeypatch):
     folder = str(tmp_path / "hot")
     pages = spark.range(300).selectExpr("id", "'http://a.example.org/' AS url", "concat('page ', id) AS html")
